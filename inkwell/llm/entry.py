@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from inkwell.llm import piece_bpe, repetition, trie_tokens
+from inkwell.llm import piece_bpe, repetition, toxicity, trie_tokens
 
 QUERIES = {
     "op2_repetition": repetition.op2_repetition,
     "op6_trie_tokens": trie_tokens.op6_trie_tokens,
     "op7_sentencepiece": piece_bpe.op7_sentencepiece,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {"op2_repetition": repetition.OP2_SQL}
