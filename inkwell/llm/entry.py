@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import host_reputation, mixing, piece_bpe, repetition, substrings, toxicity, trie_tokens
+from inkwell.llm import host_reputation, minhash, mixing, piece_bpe, repetition, substrings, toxicity, trie_tokens
 
 QUERIES = {
     "op2_repetition": repetition.op2_repetition,
@@ -11,7 +11,8 @@ QUERIES = {
     "op5_byte_dedup": substrings.op5_byte_dedup,
     "op6_trie_tokens": trie_tokens.op6_trie_tokens,
     "op7_sentencepiece": piece_bpe.op7_sentencepiece,
+    "op8_minhash": minhash.op8_minhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_word_dedup": substrings.op10_word_dedup,
 }
-ORACLES = {"op4_host_reputation": host_reputation.OP4_SQL, "op2_repetition": repetition.OP2_SQL}
+ORACLES = {"op4_host_reputation": host_reputation.OP4_SQL, "op2_repetition": repetition.OP2_SQL, "op8_minhash": minhash.OP8_SQL}
