@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from inkwell.llm import host_reputation, minhash, mixing, piece_bpe, repetition, substrings, toxicity, trie_tokens
+from inkwell.llm import cap_filters, host_reputation, minhash, mixing, piece_bpe, repetition, substrings, toxicity, trie_tokens
 
 QUERIES = {
+    "op1_cap_filters": cap_filters.op1_cap_filters,
     "op2_repetition": repetition.op2_repetition,
     "op3_mixing": mixing.op3_mixing,
     "op4_host_reputation": host_reputation.op4_host_reputation,
