@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, table
+from inkwell.llm.common import cut, forest, table
 from inkwell.llm.components import components
 
 COSINE = 0.95
@@ -138,19 +138,6 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The least member reachable from each of n members over the links a-b."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, a, root[b])
-        np.minimum.at(new, b, root[a])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _links(unit: np.ndarray, size: np.ndarray, caps: Caps, own: int, part: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Of a bucket's members: weight of the links first met in filter own, and the least member linked to."""
     hit = np.zeros((0, 2), np.int64)
@@ -180,7 +167,7 @@ def _links(unit: np.ndarray, size: np.ndarray, caps: Caps, own: int, part: np.nd
                 some = (slot[a] >= k) & (slot[a] < k + CHUNK)
                 first[some] = ~met[slot[a[some]] - k, slot[b[some]]]
     weight = np.bincount(a[first], size[b[first]], len(unit)) + np.bincount(b[first], size[a[first]], len(unit))
-    return weight.astype(np.int64), _forest(a, b, len(unit))
+    return weight.astype(np.int64), forest(a, b, len(unit))
 
 
 def read_vectors(vectors: DataFrame) -> DataFrame:

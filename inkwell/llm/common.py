@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.session import ship
+
 #: Characters between words: space and the five ASCII controls U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 IS_SPACE = np.zeros(256, bool)
@@ -22,7 +24,7 @@ SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -172,6 +174,19 @@ def covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(step)[:-1] > 0
 
 
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least member reachable from each of n members over the links a-b."""
+    root = np.arange(n)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def ascii_lower(column) -> object:
     """A-Z lower-cased, all else unchanged."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
