@@ -5,9 +5,9 @@ shingles, the second, shifted circularly by one more place for each coordinate,
 buckets; there are enough of them that a pair at the threshold is missed once in a hundred thousand.
 
 Texts with equal sets are one class from the start. Within a bucket every class is compared with its least one; what that
-links is joined into components. Only buckets whose members are then in different components need more: there the members
-outside the most frequent component are compared with all that are in other components. So no pair of a bucket goes
-unjudged unless it is linked anyway, and a large group of copies costs as many comparisons as it has members.
+links is joined into components. Only buckets whose members are then in different components need more: there all members
+are compared with those in other components, in parts of bounded size, and only a spanning forest of the links leaves a
+task. So no pair of a bucket goes unjudged unless it is linked anyway, and no pairs are written out.
 
 Words are split at ASCII spaces and A-Z lower-cased. Shingles have 64-bit hashes, compared in full sets. A text with fewer
 words than a shingle is one shingle as a whole; one without words, or null, is linked with nothing. Rows that repeat an id
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, flat, gram_hashes, mix64, slices, span_hashes, table, words
+from inkwell.llm.common import cut, flat, forest, gram_hashes, mix64, slices, span_hashes, table, words
 from inkwell.llm.components import components
 
 ROWS, MISSED = 4, 1e-5
+#: Buckets are compared in parts of about so many members.
+CHUNK = 512
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -127,6 +129,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def _between(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that span all links between members of one bucket in different components.
+
+    members: bucket, class, component, parts and part. Every two parts of a bucket meet in one task, and small buckets share
+    tasks. What two sets have in common is counted for all pairs at once, as a product of their incidences."""
+    groups = max(256, members.count() // 1024)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    placed = members.select("bucket", "class", "component", "parts", "part", other.alias("other"))
+    key = F.when(F.col("parts") > 1, F.col("bucket")).otherwise(F.pmod("bucket", F.lit(groups)))
+    placed = placed.select("bucket", "class", "component", "part", key.alias("key"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        number = rows["bucket"].to_numpy()
+        order = np.argsort(number, kind="stable")
+        out = [np.zeros((0, 2), np.int64)]
+        for at in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+            t = rows.take(pa.array(at))
+            names = t["class"].to_numpy()
+            a, b = _alike([np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()], t["component"].to_numpy(), percent)
+            root = forest(a, b, len(names))
+            tied = np.flatnonzero(root != np.arange(len(root)))
+            out.append(np.stack([names[tied], names[root[tied]]], 1))
+        both = np.concatenate(out)
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return placed.join(sets, "class").groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _alike(sets: list[np.ndarray], component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets in different components that are as similar as asked."""
+    size = np.array([len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = count[code] > 1
+    column = np.cumsum(count > 1) - 1
+    row, code = row[shared], column[code[shared]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    step = max(256, (1 << 24) // len(sets))
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    for k in range(0, int(code[-1]) + 1 if len(code) else 0, step):
+        a, b = np.searchsorted(code, [k, k + step])
+        has = np.zeros((len(sets), min(step, int(code[-1]) + 1 - k)), np.float32)
+        has[row[a:b], code[a:b] - k] = 1
+        both += has @ has.T
+    near = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (component[:, None] != component[None, :])
+    return np.nonzero(np.triu(near, 1))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), n_shingles, component_id and kept of every row of docs."""
     rows = cut(signed(docs, n, n_bands(percent)))
@@ -144,17 +195,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     found = components(edges)
 
     named = cut(members.select("bucket", "class", "n").join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
-    shares = named.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    mixed = cut(shares.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "most"))
-    inside = cut(named.join(mixed, "bucket"))
-    rest = inside.where("component <> most").select("bucket", F.col("class").alias("x"), F.col("n").alias("n_a"), F.col("component").alias("c"))
-    more = inside.join(rest, "bucket").where(f"component <> c and {alike}").select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(more.join(tried, ["a", "b"], "left_anti"))
+    spread_out = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+    mixed = cut(spread_out.select("bucket", F.ceil(F.col("size") / CHUNK).alias("parts")))
+    inside = cut(named.join(mixed, "bucket").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))))
+    more = cut(_between(inside, sets, percent))
     if not more.isEmpty():
-        new = cut(_verified(more, sets, percent))
-        if not new.isEmpty():
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(new))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
     joined = classes.select("class", F.col("doc_id").alias("first_id")).join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     joined = cut(joined)
