@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,8 +106,6 @@ def capture_count(spark: SparkSession, pattern: str) -> int:
 def is_valid(spark: SparkSession, pattern: str) -> bool:
     try:
         capture_count(spark, pattern)
-    except Exception as error:
-        if "PatternSyntaxException" in str(error):
-            return False
-        raise
+    except IllegalArgumentException:
+        return False
     return True

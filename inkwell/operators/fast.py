@@ -8,7 +8,7 @@ beginnings numbers the elements, and an ordered aggregation joins their lines. A
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import BLANK, SPACE, ordered_join, trim
@@ -31,19 +31,24 @@ KINDS = {
 }
 ELEMENT_COLUMNS = ["script_id", "elem_idx", "element_type", "element_text", "is_centered", "scene_number", "is_dual_dialogue", "section_depth"]
 
-_BY_LINE = Window.partitionBy("script_id").orderBy("line_no")
-_BEFORE = _BY_LINE.rowsBetween(Window.unboundedPreceding, -1)
+
+def _by_line() -> WindowSpec:
+    return Window.partitionBy("script_id").orderBy("line_no")
+
+
+def _before() -> WindowSpec:
+    return _by_line().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _state(event: Column) -> Column:
     """The last event before a line, false without one."""
-    return F.coalesce(F.last(event, ignorenulls=True).over(_BEFORE), F.lit(False))
+    return F.coalesce(F.last(event, ignorenulls=True).over(_before()), F.lit(False))
 
 
 def line_facts(lines: DataFrame) -> DataFrame:
     """What each line looks like, whatever stands around it."""
     line = F.col("line")
-    return lines.withColumn("following", F.lead("line").over(_BY_LINE)).withColumns({
+    return lines.withColumn("following", F.lead("line").over(_by_line())).withColumns({
         "tilde": line.startswith("~"), "bang": line.startswith("!"), "at": line.startswith("@"),
         "two_spaces": line.rlike(f"^{SPACE}{{2}}$"), "all_spaces": line.rlike(f"^{SPACE}{{2,}}$"), "blank": line == "",
         "opens": line.startswith("/*"), "closes": line.rlike(rf"\*/{SPACE}*$"), "rule_line": line.rlike(f"^={{3,}}{SPACE}*$"),
@@ -131,14 +136,14 @@ def elements(scripts: DataFrame) -> DataFrame:
     rule = F.col("rule")
     df = classified(scripts).withColumn("kind", F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair))[rule])
     leaves = F.col("kind").isNotNull() | (rule == "plain")
-    df = df.withColumn("any_before", F.coalesce(F.max(leaves).over(_BEFORE), F.lit(False)))
+    df = df.withColumn("any_before", F.coalesce(F.max(leaves).over(_before()), F.lit(False)))
     fresh = (rule == "plain") & (F.col("after_blank") | ~F.col("any_before"))
     df = df.withColumn("kind", F.when(fresh, "Action").otherwise(F.col("kind")))
-    df = df.withColumn("last_kind", F.coalesce(F.last("kind", ignorenulls=True).over(_BEFORE), F.lit("")))
+    df = df.withColumn("last_kind", F.coalesce(F.last("kind", ignorenulls=True).over(_before()), F.lit("")))
     goes_on = rule.isin("dialogue", "dialogue_gap") & (F.col("last_kind") == "Dialogue")
     df = df.withColumn("starts", F.col("kind").isNotNull() & ~goes_on)
     df = df.withColumn("spacer", (rule == "lyric") & (F.col("last_kind") == "Lyrics") & F.col("after_blank"))
-    begun = F.sum(F.col("starts").cast("int") + F.col("spacer").cast("int")).over(_BY_LINE.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    begun = F.sum(F.col("starts").cast("int") + F.col("spacer").cast("int")).over(_by_line().rowsBetween(Window.unboundedPreceding, 0)) - 1
     df = df.withColumn("idx", begun.cast("int"))
     backwards = Window.partitionBy("script_id").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.last(F.when(rule == "boneyard_end", F.col("idx")), ignorenulls=True).over(backwards)  # where its comment ends
