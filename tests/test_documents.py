@@ -62,7 +62,7 @@ def test_round_trip_is_stable(spark):
     plain = SIMPLE.replace(" #1#", "")
     first = Corpus.load_string(spark, plain).string_from_document().collect()[0].text
     again = Corpus.load_string(spark, first).string_from_document().collect()[0].text
-    assert again == first and first.startswith("Title: Simple\nAuthor: Nobody\n\nINT. ROOM - DAY\n")
+    assert again == first and first.startswith("Title: Simple\nAuthor: Nobody\n\n\nINT. ROOM - DAY\n")
     assert "INT. ROOM - DAY  #1#" in Corpus.load_string(spark, SIMPLE).string_from_document().collect()[0].text
 
 
