@@ -66,7 +66,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     parts = F.split("host", r"\.")
     hosts = outcomes.withColumns({"suffix": F.element_at(parts, -1), "domain": F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2), ".")})
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
-    overall = ((total.bad or 0) + 1) / ((total.n or 0) + 2)
+    overall = ((total.bad or 0) + 0.1) / ((total.n or 0) + 1)  # without any label nothing is blocked
     above, prior = hosts.withColumn("all", F.lit(overall)), "all"
     for level in ("suffix", "domain", "host"):
         keys = [level] if level == "suffix" else [level, "suffix"]
@@ -121,7 +121,7 @@ OP4_SQL = f"""WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN
 named AS (SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 known AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
 counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM named LEFT JOIN known USING (page_id) GROUP BY host),
-overall AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS every FROM counted),
+overall AS (SELECT (sum(bad) + 0.1) / (sum(n) + 1) AS every FROM counted),
 hosts AS (SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain, every FROM counted, overall),{_level_sql("suffix", "every", "hosts")},
 h1 AS (SELECT * FROM hosts JOIN m_suffix USING (suffix)),{_level_sql("domain", "suffix_mean", "h1")},
 h2 AS (SELECT * FROM hosts JOIN m_domain USING (domain, suffix)),{_level_sql("host", "domain_mean", "h2")}
