@@ -66,6 +66,32 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """As cut(), the rows dealt by key and written in buckets: joins on key then move only their other side."""
+    spark = df.sparkSession
+    name = f"inkwell_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    _WRITTEN.append((spark, path))
+    del df
+    forget_shuffles(spark)
+    return spark.table(name)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to any more; it finds them when the JVM collects."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches, in order, in pieces whose texts have about limit bytes; null texts become empty."""
     for batch in batches:

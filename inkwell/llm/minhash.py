@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, flat, forest, gram_hashes, mix64, slices, span_hashes, table, words
+from inkwell.llm.common import cut, flat, forest, forget_shuffles, gram_hashes, mix64, placed, slices, span_hashes, table, unused, words
 from inkwell.llm.components import components
 
 ROWS, MISSED = 4, 1e-5
@@ -77,7 +77,7 @@ def class_of(s: np.ndarray) -> int:
 
 
 def signed(docs: DataFrame, n: int, bands: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, class (null for an empty set) and bands of every row of docs."""
+    """row_key, doc_id, n_shingles, class (null for an empty set) and bands of every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -91,23 +91,21 @@ def signed(docs: DataFrame, n: int, bands: int) -> DataFrame:
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
                 for i, row in zip(full, key.view(np.int64)):
                     values[i] = row
-            columns = [batch["doc_id"], batch["text_key"], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(values, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n_shingles", "class", "bands"])
+            columns = [batch["row_key"], batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array(values, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_key", "doc_id", "n_shingles", "class", "bands"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "doc_id long, text_key long, n_shingles long, class long, bands array<long>")
+    return docs.select("row_key", "doc_id", "text").mapInArrow(run, "row_key long, doc_id long, n_shingles long, class long, bands array<long>")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """class and set of the rows of docs that needed (doc_id, text_key, class) names."""
+    """class and set of the rows of docs that needed (row_key, class) names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch["text"], n)
             yield pa.RecordBatch.from_arrays([batch["class"], pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
 
-    d, k = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).alias("d"), needed.alias("k")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.text_key") == F.col("k.text_key"))
-    found = d.join(k, same).select("d.text", "k.class").mapInArrow(run, "class long, set binary")
+    found = docs.select("row_key", "text").join(needed, "row_key").select("text", "class").mapInArrow(run, "class long, set binary")
     return found.groupBy("class").agg(F.first("set").alias("set"))  # rows that repeat id and text
 
 
@@ -178,10 +176,20 @@ def _alike(sets: list[np.ndarray], component: np.ndarray, percent: int) -> tuple
     return np.nonzero(np.triu(near, 1))
 
 
+def row_key() -> Column:
+    """A 64-bit name of a row's id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_key (xxhash64 of the text), n_shingles, component_id and kept of every row of docs."""
+    """doc_id, n_shingles, component_id and kept of every row of docs."""
+    return _judged(placed(docs.select("doc_id", "text", row_key().alias("row_key")), "row_key"), n, percent).drop("row_key")
+
+
+def _judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """As near_duplicates, with row_key, for docs placed by row_key."""
     rows = cut(signed(docs, n, n_bands(percent)))
-    lead = F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    lead = F.min_by(F.struct("doc_id", "row_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
     classes = cut(rows.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), lead.alias("lead")).select("class", "n", "bands", "lead.*"))
     entries = classes.select("class", "n", F.explode("bands").alias("bucket"))
     buckets = cut(entries.groupBy("bucket").agg(F.min("class").alias("a"), F.min_by("n", "class").alias("n_a"), F.count("*").alias("size")).where("size > 1").select("bucket", "a", "n_a"))
@@ -190,7 +198,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     alike = f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)"
     pairs = cut(members.where(f"class <> a and {alike}").select("a", F.col("class").alias("b")).distinct())
     used = members.select("class").distinct()
-    sets = cut(_sets(docs, classes.join(used, "class").select("doc_id", "text_key", "class"), n))
+    sets = cut(_sets(docs, classes.join(used, "class").select("row_key", "class"), n))
+    forget_shuffles(docs.sparkSession)
     edges = cut(_verified(pairs, sets, percent))
     found = components(edges)
 
@@ -208,13 +217,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     ids = cut(joined.join(least, "component").select("class", "least_id"))
     out = rows.join(ids, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
-    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("row_key", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that near_duplicates keeps."""
-    gone = cut(near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_key")), "left_anti")
+    key, names = unused("row_key", docs), docs.columns
+    whole = placed(docs.withColumn(key, row_key()), key)
+    judged = _judged(whole.select("doc_id", "text", F.col(key).alias("row_key")), n, percent)
+    gone = cut(judged.where("not kept").select(F.col("row_key").alias(key)).distinct())
+    return whole.join(gone, key, "left_anti").select(names)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

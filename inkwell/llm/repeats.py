@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import _BYTE, _powers, covered, cut, flat, mix64, slices, span_hashes, spread, words
+from inkwell.llm.common import _BYTE, _powers, covered, cut, flat, mix64, placed, slices, span_hashes, spread, words
 
 LAST = np.iinfo(np.int64).max
 #: Buckets at least; each asks about some ten thousand names.
@@ -264,7 +264,7 @@ def _pack(batch: pa.RecordBatch, shape: Shape, bits: int) -> Pack:
 
 def with_repeats(docs: DataFrame, shape: Shape, build: Callable[[pa.RecordBatch, Pack, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """What build makes of each slice of docs, its Pack, and the mask of its symbols in windows that count."""
-    packs = cut(packed(docs))
+    packs = placed(packed(docs), "pack")
     bits = max(BUCKET_BITS, (packs.count() - 1).bit_length() - 1)
     by_id = shape.by_id
     answers: DataFrame | None = None
