@@ -7,7 +7,9 @@ questions are asked about them, each by names spread over buckets of hash ranges
 1. which names stand in other packs too; all windows with other names are unique between packs;
 2. which whole runs (the longer prefix: name and string) stand in other packs too, so that all their windows do, and which
    names have different runs;
-3. which windows of the latter stand in other packs too.
+3. which windows of the latter stand in other packs too. Now the strings themselves are sent, a bucket being a shard. A shard
+   of words is a group of suffixes whose subtree is built in memory, and whose deep internal nodes are the repeats; a
+   shard of bytes is sorted by external induction, and neighbours that share a window's length are equal windows.
 
 Within a pack, sorting finds equal windows. A list holds each name once, however many copies a pack has of it, so a bucket
 has at most one entry of a frequent name per pack, and the buckets grow in number with the packs.
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import _BYTE, _powers, covered, cut, flat, mix64, placed, slices, span_hashes, spread, words
+from inkwell.llm.induced import classes
+from inkwell.llm.suffix_tree import build
 
 LAST = np.iinfo(np.int64).max
 #: Buckets at least; each asks about some ten thousand names.
@@ -84,9 +88,9 @@ class Pack:
         self.shape, self.ids, self.bits = shape, ids, bits
         if shape.by_words:
             starts, ends, self.offsets = words(data, offsets)
-            self.sym = span_hashes(data, starts, ends)
+            self.sym = self.text = span_hashes(data, starts, ends)
         else:
-            self.sym, self.offsets = _BYTE[data], offsets
+            self.sym, self.text, self.offsets = _BYTE[data], data, offsets
         n = shape.n
         v = least_names(self.sym, n, shape.k)
         over = covered(len(v) + n, np.maximum(self.offsets[:-1], self.offsets[1:] - n + 1), np.maximum(self.offsets[1:], self.offsets[:-1]))[: len(v)]
@@ -137,9 +141,9 @@ class Pack:
         first = order[new]
         return runs, self.v[runs][first], s[first], _least(entry, self.id[runs], len(first)), entry
 
-    def open_windows(self, answers: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, ...]:
-        """Places of windows that question 2 settled; and of those in question 3: places, hashes, sorted distinct hashes
-        and their least ids."""
+    def settled(self, answers: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, ...]:
+        """Places of windows that question 2 settled; the runs that question 3 is about, and their entries; and of all
+        entries the names and least ids."""
         runs, v, s, least, entry = self.run_entries(answers)
         said = np.zeros(len(v), np.uint8)
         for bucket, (a, b) in self._buckets(v).items():
@@ -153,41 +157,54 @@ class Pack:
             mine = np.zeros(len(runs), bool)
             mine[np.unique(entry, return_index=True)[1]] = True
             settled = same
-        done = self.start[runs[settled]]
         group, place = spread(self.size[runs[settled]])
-        p, w, ids = self.windows(runs[mixed & mine & (~same | owner)])
-        distinct, back = np.unique(w, return_inverse=True)
-        return done[group] + place, p, w, distinct, _least(back, ids, len(distinct))
+        chosen = mixed & mine & (~same | owner)
+        return self.start[runs[settled]][group] + place, runs[chosen], entry[chosen], v, least
+
+    def open_strings(self, answers: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, ...]:
+        """Of the strings in question 3, in order of their names: names, places, lengths and least ids; and of each of
+        their windows the place in the list of all windows for every run that holds it."""
+        _, runs, entry, v, least = self.settled(answers)
+        e, first, back = np.unique(entry, return_index=True, return_inverse=True)
+        size = self.size[runs[first]] if len(e) else np.zeros(0, np.int64)
+        run, place = spread(self.size[runs])
+        at = (np.cumsum(size) - size)[back[run]] + place if len(e) else np.zeros(0, np.int64)
+        return v[e], self.start[runs[first]] if len(e) else size, size + self.shape.n - 1, least[e], self.start[runs][run] + place, at
 
     def repeated(self, answers: dict[int, dict[int, bytes]]) -> np.ndarray:
         """Which symbols lie in windows that count."""
-        done, p, w, distinct, _ = self.open_windows(answers)
-        hit = np.zeros(len(distinct), bool)
-        for bucket, (a, b) in self._buckets(distinct).items():
+        done = self.settled(answers)[0]
+        names, _, length, _, p, at = self.open_strings(answers)
+        ends = np.r_[0, np.cumsum(length - self.shape.n + 1)]
+        hit = np.zeros(int(ends[-1]), bool)
+        for bucket, (a, b) in self._buckets(names, self.shard_bits).items():
             if bucket in answers.get(2, {}):
-                hit[a:b] = np.unpackbits(np.frombuffer(answers[2][bucket], np.uint8), count=b - a).astype(bool)
-        more = p[hit[np.searchsorted(distinct, w)]] if len(distinct) else p
-        at = np.unique(np.concatenate([self.local(), done, more]))
+                hit[ends[a] : ends[b]] = np.unpackbits(np.frombuffer(answers[2][bucket], np.uint8), count=int(ends[b] - ends[a])).astype(bool)
+        at = np.unique(np.concatenate([self.local(), done, p[hit[at]]]))
         return covered(len(self.sym), at, at + self.shape.n)
 
-    def _buckets(self, names: np.ndarray) -> dict[int, tuple[int, int]]:
+    @property
+    def shard_bits(self) -> int:
+        """Question 3 is put to a quarter of the buckets, each a shard of strings to sort."""
+        return self.bits - 2
+
+    def _buckets(self, names: np.ndarray, bits: int = 0) -> dict[int, tuple[int, int]]:
         """Where the names of each bucket begin and end in a sorted list."""
-        bucket = (names >> np.uint64(64 - self.bits)).astype(np.int64)
+        bucket = (names >> np.uint64(64 - (bits or self.bits))).astype(np.int64)
         at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
         return {int(bucket[a]): (int(a), int(b)) for a, b in zip(at, np.r_[at[1:], len(bucket)])}
 
     def asks(self, question: int, answers: dict[int, dict[int, bytes]]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """Bucket, names, and with question 2 run strings, and with by_id least ids."""
-        if question == 0:
-            columns = [self.names()]
-        elif question == 1:
-            _, v, s, least, _ = self.run_entries(answers)
-            columns = [v, s, least]
-        else:
-            _, _, _, distinct, least = self.open_windows(answers)
-            columns = [distinct, None, least]
+        """Bucket, and names, strings and least ids; with question 3 the strings' symbols, their lengths and least ids."""
+        if question == 2:
+            names, start, length, least, _, _ = self.open_strings(answers)
+            for bucket, (a, b) in self._buckets(names, self.shard_bits).items():
+                text = b"".join(self.text[i : i + n].tobytes() for i, n in zip(start[a:b].tolist(), length[a:b].tolist()))
+                yield bucket, text, length[a:b].astype(np.int64).tobytes(), least[a:b].tobytes()
+            return
+        columns = [self.names()] if question == 0 else list(self.run_entries(answers)[1:4])
         for bucket, (a, b) in self._buckets(columns[0]).items():
-            cells = [b"" if x is None or (i == 2 and not self.shape.by_id) else x[a:b].tobytes() for i, x in enumerate(columns)]
+            cells = [b"" if i == 2 and not self.shape.by_id else x[a:b].tobytes() for i, x in enumerate(columns)]
             yield bucket, *(cells + [b"", b""])[:3]
 
 
@@ -201,41 +218,68 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def answering(question: int, by_id: bool) -> Callable[[pa.Table], pa.Table]:
+def answering(question: int, shape: Shape) -> Callable[[pa.Table], pa.Table]:
     """A function that answers all packs that ask about the names of one bucket."""
 
     def reply(asked: pa.Table) -> pa.Table:
-        return answers_to(asked, question, by_id)
+        return answers_to(asked, question, shape)
 
     return reply
 
 
-def answers_to(asked: pa.Table, question: int, by_id: bool) -> pa.Table:
-    names, strings, least = _joined(asked["names"], np.uint64), _joined(asked["strings"], np.uint64), _joined(asked["least"], np.int64)
-    size = pc.binary_length(asked["names"]).to_numpy() // 8
-    pack = np.repeat(np.arange(len(size)), size)
-    ids = least if by_id and question else pack.astype(np.int64)
-    if question == 1:
-        order = np.lexsort((ids, strings, names))
-        new_name = np.r_[True, np.diff(names[order]) != 0]
-        new = new_name | np.r_[True, np.diff(strings[order]) != 0]
-        entry = np.cumsum(new) - 1
-        first = order[new]  # the owner: the smallest id, else the first pack
-        same = ids[order] > ids[first][entry] if by_id else np.bincount(entry)[entry] > 1
-        mixed = (np.bincount(np.cumsum(new_name) - 1, new) > 1)[np.cumsum(new_name) - 1]
-        owner = ids[order] == ids[first][entry]
-        out = np.zeros(len(names), np.uint8)
-        out[order] = same * SAME + mixed * MIXED + owner * OWNER
-        cells = [x.tobytes() for x in np.split(out, np.cumsum(size)[:-1])]
+def answers_to(asked: pa.Table, question: int, shape: Shape) -> pa.Table:
+    if question == 2:
+        cells = _sorted_shard(asked, shape)
     else:
-        order = np.lexsort((ids, names))
-        new = np.r_[True, np.diff(names[order]) != 0]
-        entry = np.cumsum(new) - 1
-        hit = np.zeros(len(names), bool)
-        hit[order] = ids[order] > ids[order[new]][entry] if by_id and question else np.bincount(entry)[entry] > 1
-        cells = [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum(size)[:-1])]
+        names, strings, least = _joined(asked["names"], np.uint64), _joined(asked["strings"], np.uint64), _joined(asked["least"], np.int64)
+        size = pc.binary_length(asked["names"]).to_numpy() // 8
+        pack = np.repeat(np.arange(len(size)), size)
+        if question == 1:
+            out = _compared(names, strings, least if shape.by_id else pack, shape.by_id)
+            cells = [x.tobytes() for x in np.split(out, np.cumsum(size)[:-1])]
+        else:
+            _, back, count = np.unique(names, return_inverse=True, return_counts=True)
+            cells = [np.packbits(x).tobytes() for x in np.split(count[back] > 1, np.cumsum(size)[:-1])]
     use = pa.array([any(x) for x in cells])
-    return pa.table({"pack": asked["pack"], "question": pa.array(np.full(len(size), question, np.int32)), "bucket": asked["bucket"], "said": pa.array(cells, pa.binary())}).filter(use)
+    return pa.table({"pack": asked["pack"], "question": pa.array(np.full(len(cells), question, np.int32)), "bucket": asked["bucket"], "said": pa.array(cells, pa.binary())}).filter(use)
+
+
+def _compared(names: np.ndarray, strings: np.ndarray, ids: np.ndarray, by_id: bool) -> np.ndarray:
+    """SAME, MIXED and OWNER of every entry."""
+    order = np.lexsort((ids, strings, names))
+    new_name = np.r_[True, np.diff(names[order]) != 0]
+    new = new_name | np.r_[True, np.diff(strings[order]) != 0]
+    entry = np.cumsum(new) - 1
+    first = order[new]  # the owner: the smallest id, else the first pack
+    same = ids[order] > ids[first][entry] if by_id else np.bincount(entry)[entry] > 1
+    mixed = (np.bincount(np.cumsum(new_name) - 1, new) > 1)[np.cumsum(new_name) - 1]
+    owner = ids[order] == ids[first][entry]
+    out = np.zeros(len(names), np.uint8)
+    out[order] = same * SAME + mixed * MIXED + owner * OWNER
+    return out
+
+
+def _sorted_shard(asked: pa.Table, shape: Shape) -> list[bytes]:
+    """For each pack, which windows of its strings stand in strings with smaller ids, or in other packs.
+
+    Words: the deep nodes of the shard's suffix subtree. Bytes: neighbours in its suffix array, sorted by induction."""
+    data = _joined(asked["names"], np.uint64 if shape.by_words else np.uint8)
+    length, least = _joined(asked["strings"], np.int64), _joined(asked["least"], np.int64)
+    size = length - shape.n + 1
+    per = pc.binary_length(asked["strings"]).to_numpy() // 8
+    ends = np.r_[0, np.cumsum(size)][np.cumsum(per)]
+    if shape.by_words:
+        tree = build(data, length, shape.n)
+        group, place = spread(size)
+        number = np.empty(len(data), np.int64)
+        number[tree.leaf] = tree.nodes(shape.n)
+        number = number[(np.cumsum(length) - length)[group] + place]
+    else:
+        number = classes(data, length, shape.n)
+    ids = np.repeat(least, size) if shape.by_id else np.repeat(np.arange(len(per)), np.diff(np.r_[0, ends]))
+    first = _least(number, ids, int(number.max()) + 1)
+    hit = ids > first[number] if shape.by_id else (first < -_least(number, -ids, len(first)))[number]
+    return [np.packbits(x).tobytes() for x in np.split(hit, ends[:-1])]
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -266,7 +310,6 @@ def with_repeats(docs: DataFrame, shape: Shape, build: Callable[[pa.RecordBatch,
     """What build makes of each slice of docs, its Pack, and the mask of its symbols in windows that count."""
     packs = placed(packed(docs), "pack")
     bits = max(BUCKET_BITS, (packs.count() - 1).bit_length() - 1)
-    by_id = shape.by_id
     answers: DataFrame | None = None
     for question in (0, 1, 2):
 
@@ -277,7 +320,7 @@ def with_repeats(docs: DataFrame, shape: Shape, build: Callable[[pa.RecordBatch,
                 yield pa.RecordBatch.from_arrays(columns, names=["pack", "bucket", "names", "strings", "least"])
 
         asked = _told(packs, answers).mapInArrow(ask, "pack long, bucket long, names binary, strings binary, least binary")
-        new = cut(asked.groupBy("bucket").applyInArrow(answering(question, by_id), "pack long, question int, bucket long, said binary"))
+        new = cut(asked.groupBy("bucket").applyInArrow(answering(question, shape), "pack long, question int, bucket long, said binary"))
         answers = new if answers is None else answers.unionAll(new)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
