@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
@@ -55,6 +55,19 @@ def replaced(c: Column, pattern: str, template: str, options: str = "") -> Colum
     return F.regexp_replace(c, with_options(pattern, options), template)
 
 
+def replaced_by(c: Column, pattern: str, make: Callable[[list[str]], str], options: str = "") -> Column:
+    """Every match replaced by what make returns for its captures, [whole, first, ...]. It runs in Python, in batches."""
+    p = with_options(pattern, options)
+
+    @F.pandas_udf("string")
+    def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compiled = regex.compile(p)
+        for texts in batches:
+            yield texts.map(lambda x: None if x is None else compiled.sub(lambda m: make([m[0], *(g or "" for g in m.groups())]), x))
+
+    return replace(c)
+
+
 def components_matched(c: Column, pattern: str, capture: int = 0, options: str = "") -> Column:
     return F.regexp_extract_all(c, F.lit(with_options(pattern, options)), F.lit(capture))
 

@@ -188,6 +188,7 @@ def test_regex_functions(spark):
     assert row(rx.dictionary(c, r"([a-z]+)(\d+)", {"w": 1, "n": 2})) == [{"w": "ab", "n": "12"}, None, None]
     assert row(rx.array_of_dictionaries(c, r"([a-z])(\d)", {"w": 1})) == [[{"w": "b"}, {"w": "d"}], [], None]
     assert [r[0] for r in df.select(rx.enumerated(c, r"\d+")).collect()] == ["12", "345"]
+    assert row(rx.replaced_by(c, r"([a-z]+)(\d+)", lambda m: f"<{m[2]}:{m[1].upper()}>")) == ["<12:AB><345:CD>", "none", None]
     assert row(rx.in_range(c, 1, 3))[0] == "b12"
     assert rx.capture_count(spark, "(a)(b(c))") == 3 and rx.is_valid(spark, "a+") and not rx.is_valid(spark, "(")
 
