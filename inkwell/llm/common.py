@@ -47,7 +47,10 @@ def _clean() -> None:
             return
 
 
-atexit.register(_clean)
+def _written(spark: SparkSession, path: str) -> None:
+    if not _WRITTEN:
+        atexit.register(_clean)  # registered after Spark's own, so that it runs before
+    _WRITTEN.append((spark, path))
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
@@ -62,7 +65,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/inkwell-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
+    _written(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,7 +76,7 @@ def placed(df: DataFrame, key: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
-    _WRITTEN.append((spark, path))
+    _written(spark, path)
     del df
     forget_shuffles(spark)
     return spark.table(name)

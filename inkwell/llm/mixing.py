@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, table
+from inkwell.llm.common import cut, table, unused
 
 #: Share of the highest possible entropy, and how often a source may be run through.
 ENTROPY, REPEATS = 0.98, 2.0
@@ -103,14 +103,17 @@ def plan(sized: DataFrame, **limits) -> DataFrame:
 
 
 def realise(docs: DataFrame, quotas: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Each row of docs, with all its columns, once for each time it is due, with mix_epoch, mix_key and mix_block."""
-    own = [F.col(f"d.{c}") for c in docs.columns]
-    due = docs.withColumn("mix_source", F.coalesce("source", F.lit(""))).alias("d").join(quotas.alias("q"), F.col("mix_source") == F.col("q.source"))
-    due = due.select(*own, "q.whole", "q.last_key", "q.source_tokens", "q.quota", "q.budget", F.explode(F.sequence(F.lit(0), F.col("q.whole"))).alias("mix_epoch"))
-    due = due.withColumn("mix_key", key(F.col("mix_epoch"))).where((F.col("mix_epoch") < F.col("whole")) | (F.col("mix_key") <= F.col("last_key")))
-    place = F.when(F.col("quota") > 0, (F.col("mix_epoch") + F.col("mix_key") / 2.0**63) * F.col("source_tokens") / F.col("quota")).otherwise(F.col("mix_key") / 2.0**63)
-    blocks = F.greatest(F.lit(1.0), F.ceil(F.col("budget") / block_tokens))
-    return due.select(*docs.columns, "mix_epoch", "mix_key", F.floor(F.least(place, F.lit(1 - 1e-12)) * blocks).alias("mix_block"))
+    """Each row of docs, with all its columns, once for each time it is due, with mix_epoch, mix_key and mix_block (with an
+    underscore added where docs has a column of that name)."""
+    names = {c: unused(f"mix_{c}", docs) for c in ("source", "whole", "last_key", "source_tokens", "quota", "budget", "epoch", "key", "block")}
+    q = quotas.select(*(F.col(c).alias(names[c]) for c in ("source", "whole", "last_key", "source_tokens", "quota", "budget")))
+    col = lambda c: F.col(names[c])
+    due = docs.withColumn(names["source"], F.coalesce("source", F.lit(""))).join(q, names["source"])
+    due = due.select("*", F.explode(F.sequence(F.lit(0).cast("long"), col("whole"))).alias(names["epoch"]))
+    due = due.withColumn(names["key"], key(col("epoch"))).where((col("epoch") < col("whole")) | (col("key") <= col("last_key")))
+    place = F.when(col("quota") > 0, (col("epoch") + col("key") / 2.0**63) * col("source_tokens") / col("quota")).otherwise(col("key") / 2.0**63)
+    blocks = F.greatest(F.lit(1.0), F.ceil(col("budget") / block_tokens))
+    return due.select(*docs.columns, names["epoch"], names["key"], F.floor(F.least(place, F.lit(1 - 1e-12)) * blocks).alias(names["block"]))
 
 
 def sizes(docs: DataFrame) -> DataFrame:

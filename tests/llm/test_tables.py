@@ -121,6 +121,13 @@ def test_weights():
     assert mixing.weights({"a": 5}) == (0.0, {"a": 1.0}, 5.0) and mixing.weights({}) == (1.0, {}, 0.0) and mixing.weights({"a": 0})[1] == {}
 
 
+def test_mixing_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 7, "x"), (2, "c", None, 8, "y")], "doc_id long, text string, source string, mix_epoch int, whole string")
+    out = mixing.realise(df, mixing.plan(mixing.sizes(df)))
+    assert out.columns == [*df.columns, "mix_epoch_", "mix_key", "mix_block"]
+    assert {(r.doc_id, r.mix_epoch, r.whole) for r in out.collect()} == {(1, 7, "x"), (2, 8, "y")}
+
+
 def test_mixing_of_nothing(spark):
     assert mixed(spark, [])[2].count() == 0
 
