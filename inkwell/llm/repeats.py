@@ -1,7 +1,7 @@
 """Windows of n symbols that stand more than once in a corpus, found without moving a row for each of them.
 
 Symbols are bytes or words. A window is named by the least hash of the k-symbol prefixes of the suffixes in it; windows
-in a row with one name form a run, and equal windows have equal names. Texts lie in packs of about a megabyte, and three
+in a row with one name form a run, and equal windows have equal names. Texts lie in packs of half a megabyte, and three
 questions are asked about them, each by names spread over buckets of hash ranges, a short sorted list per pack and bucket:
 
 1. which names stand in other packs too; all windows with other names are unique between packs;
@@ -38,6 +38,8 @@ LAST = np.iinfo(np.int64).max
 #: Buckets at least; each asks about some ten thousand names.
 BUCKET_BITS = 9
 BLOCK = 1 << 20
+#: Text bytes in a pack; a longer text is a pack of its own.
+PACK_BYTES = 1 << 19
 SAME, MIXED, OWNER = 1, 2, 4
 
 
@@ -100,7 +102,8 @@ class Pack:
         at = np.flatnonzero(border[:-1])
         size = np.diff(np.r_[at, len(v)])
         good = ~over[at] if len(at) else np.zeros(0, bool)
-        self.start, self.size, self.v = at[good], size[good], v[at[good]]
+        # least hashes crowd near 0: mixed again, names spread evenly over the buckets
+        self.start, self.size, self.v = at[good], size[good], mix64(v[at[good]])
         self.row = np.searchsorted(self.offsets, self.start, side="right") - 1
         self.id = ids[self.row] if len(ids) else np.zeros(0, np.int64)
 
@@ -185,8 +188,8 @@ class Pack:
 
     @property
     def shard_bits(self) -> int:
-        """Question 3 is put to a quarter of the buckets, each a shard of strings to sort."""
-        return self.bits - 2
+        """Question 3 is put to half as many buckets, each a shard of strings to sort."""
+        return self.bits - 1
 
     def _buckets(self, names: np.ndarray, bits: int = 0) -> dict[int, tuple[int, int]]:
         """Where the names of each bucket begin and end in a sorted list."""
@@ -283,11 +286,11 @@ def _sorted_shard(asked: pa.Table, shape: Shape) -> list[bytes]:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """docs in packs (pack, rest, text): the texts of a slice as one Arrow column, its other columns as a batch."""
+    """docs in packs (pack, texts): some rows with all their columns, as one Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PACK_BYTES):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_batch(batch)
@@ -309,7 +312,7 @@ def _pack(batch: pa.RecordBatch, shape: Shape, bits: int) -> Pack:
 def with_repeats(docs: DataFrame, shape: Shape, build: Callable[[pa.RecordBatch, Pack, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """What build makes of each slice of docs, its Pack, and the mask of its symbols in windows that count."""
     packs = placed(packed(docs), "pack")
-    bits = max(BUCKET_BITS, (packs.count() - 1).bit_length() - 1)
+    bits = max(BUCKET_BITS, (packs.count() - 1).bit_length() - 2)
     answers: DataFrame | None = None
     for question in (0, 1, 2):
 

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from inkwell.llm import common, substrings
+from inkwell.llm import repeats, substrings
 from tests.llm.conftest import texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,7 +42,7 @@ def by_bytes(rows, n):
 
 @pytest.fixture(params=[1 << 20, 400], ids=["one pack", "many packs"])
 def pack_size(request, monkeypatch):
-    monkeypatch.setattr(common.slices, "__defaults__", (request.param,))
+    monkeypatch.setattr(repeats, "PACK_BYTES", request.param)
 
 
 def test_words_against_brute_force(make_docs, draw, pack_size):
