@@ -77,40 +77,46 @@ class _Scan:
         if not len(position):
             return
         left = position - 1
-        k = np.flatnonzero((position > 0) & self.wanted[left])
+        k = np.flatnonzero(self.wanted[left] & (position > 0))
+        if not len(k):
+            self.low = np.minimum(self.low, shared.min())
+            return
         symbol = self.s[left[k]]
         order = np.argsort(symbol, kind="stable")
         k, symbol = k[order], symbol[order]
         ends = np.minimum.accumulate(shared)
-        if len(k):
-            new = np.r_[True, symbol[1:] != symbol[:-1]]
-            value = np.empty(len(k), np.uint8)
-            value[new] = np.minimum(self.low[symbol[new]], ends[k[new]])
-            old = np.flatnonzero(~new)
-            value[old] = _least(shared, k[old - 1] + 1, k[old])
-            first = new & ~self.any[symbol]
-            value = np.minimum(value, 253) + np.uint8(1)
-            value[first] = 0
-            self.queue.push(symbol, left[k].astype(np.int32), value)
+        starts = np.flatnonzero(symbol[1:] != symbol[:-1]) + 1
+        firsts = np.concatenate([_ZERO, starts])
+        lasts = np.concatenate([starts - 1, np.array([len(k) - 1])])
+        value = np.empty(len(k), np.uint8)
+        if len(k) > len(firsts):
+            value[1:] = _least(shared, k[:-1] + 1, k[1:])
+        met = symbol[firsts]
+        value[firsts] = np.minimum(self.low[met], ends[k[firsts]])
+        value = np.minimum(value, 253) + np.uint8(1)
+        value[firsts[~self.any[met]]] = 0
+        self.queue.push(symbol, left[k].astype(np.int32), value)
         self.low = np.minimum(self.low, ends[-1])
-        if len(k):
-            last = np.flatnonzero(np.r_[new[1:], True])
-            tail = np.r_[np.minimum.accumulate(shared[::-1])[::-1], np.uint8(254)]
-            self.low[symbol[last]] = tail[k[last] + 1]
-            self.any[symbol[last]] = True
+        tail = np.full(len(shared) + 1, 254, np.uint8)
+        tail[:-1] = np.minimum.accumulate(shared[::-1])[::-1]
+        self.low[met] = tail[k[lasts] + 1]
+        self.any[met] = True
+
+
+_ZERO = np.zeros(1, np.int64)
 
 
 def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least of values[a..b] for each pair, a <= b, from a table of powers of two."""
-    out = np.empty(len(a), np.uint8)
-    level = np.log2(b - a + 1).astype(np.int64)
+    """Least of values[a..b] for each pair, from a table of powers of two; anything where a > b."""
+    gap = b - a
+    out = values[np.minimum(a, b)]
+    level = np.frexp(np.maximum(gap, 0) + 1)[1] - 1
     table, span = values, 1
-    for j in range(int(level.max()) + 1 if len(level) else 0):
+    for j in range(1, int(level.max()) + 1):
+        table = np.minimum(table[:-span], table[span:])
+        span *= 2
         here = np.flatnonzero(level == j)
         out[here] = np.minimum(table[a[here]], table[b[here] - span + 1])
-        if j < level.max():
-            table = np.minimum(table[:-span], table[span:])
-            span *= 2
     return out
 
 

@@ -126,7 +126,8 @@ class Pack:
         return p[_least(back, ids, len(count))[back] < ids]
 
     def names(self) -> np.ndarray:
-        return np.unique(self.v)
+        names = np.sort(self.v)
+        return names[np.concatenate([[True], names[1:] != names[:-1]])] if len(names) else names
 
     def run_entries(self, answers: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, ...]:
         """Runs whose names stand in other packs: their indices, their entries (name, string, least id), and each run's entry."""
@@ -164,10 +165,10 @@ class Pack:
         chosen = mixed & mine & (~same | owner)
         return self.start[runs[settled]][group] + place, runs[chosen], entry[chosen], v, least
 
-    def open_strings(self, answers: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, ...]:
+    def open_strings(self, settled: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         """Of the strings in question 3, in order of their names: names, places, lengths and least ids; and of each of
         their windows the place in the list of all windows for every run that holds it."""
-        _, runs, entry, v, least = self.settled(answers)
+        _, runs, entry, v, least = settled
         e, first, back = np.unique(entry, return_index=True, return_inverse=True)
         size = self.size[runs[first]] if len(e) else np.zeros(0, np.int64)
         run, place = spread(self.size[runs])
@@ -176,14 +177,14 @@ class Pack:
 
     def repeated(self, answers: dict[int, dict[int, bytes]]) -> np.ndarray:
         """Which symbols lie in windows that count."""
-        done = self.settled(answers)[0]
-        names, _, length, _, p, at = self.open_strings(answers)
+        settled = self.settled(answers)
+        names, _, length, _, p, at = self.open_strings(settled)
         ends = np.r_[0, np.cumsum(length - self.shape.n + 1)]
         hit = np.zeros(int(ends[-1]), bool)
         for bucket, (a, b) in self._buckets(names, self.shard_bits).items():
             if bucket in answers.get(2, {}):
                 hit[ends[a] : ends[b]] = np.unpackbits(np.frombuffer(answers[2][bucket], np.uint8), count=int(ends[b] - ends[a])).astype(bool)
-        at = np.unique(np.concatenate([self.local(), done, p[hit[at]]]))
+        at = np.unique(np.concatenate([self.local(), settled[0], p[hit[at]]]))
         return covered(len(self.sym), at, at + self.shape.n)
 
     @property
@@ -200,7 +201,7 @@ class Pack:
     def asks(self, question: int, answers: dict[int, dict[int, bytes]]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """Bucket, and names, strings and least ids; with question 3 the strings' symbols, their lengths and least ids."""
         if question == 2:
-            names, start, length, least, _, _ = self.open_strings(answers)
+            names, start, length, least, _, _ = self.open_strings(self.settled(answers))
             for bucket, (a, b) in self._buckets(names, self.shard_bits).items():
                 text = b"".join(self.text[i : i + n].tobytes() for i, n in zip(start[a:b].tolist(), length[a:b].tolist()))
                 yield bucket, text, length[a:b].astype(np.int64).tobytes(), least[a:b].tobytes()
