@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.text import BLANK, trim_newlines
 from inkwell.operators.fast import ELEMENT_COLUMNS
+from inkwell.operators.normalize import dealt
 
 # The patterns and templates of the markup, in the order in which they are applied. (?U) stands before those
 # whose classes are meant for Unicode.
@@ -36,6 +37,7 @@ REWRITES = [
 ]
 BLOCK_COMMENT, BRACKET_COMMENT, SCENE_HEADER, TRANSITION, SECTION = REWRITES[1][0], REWRITES[2][0], REWRITES[7][0], REWRITES[9][0], REWRITES[13][0]
 KEPT_NEWLINE = "@@@@@"
+ACTION = REWRITES[14][0]
 SCENE_NUMBER = r"(?i)(\#([0-9A-Za-z\.\)-]+)\#)"
 TAGS = r"(?U)<([a-zA-Z\s]+)>([^<>]*)<\/[a-zA-Z\s]+>"
 DUAL = r"(?U)\^\s*$"
@@ -46,6 +48,10 @@ DIRECTIVE = r"(?U)^([\w\s&]+):\s*$"
 DATA = r"^([ ]{2,8}|\t)([^<>]+)$"
 # End of fixed values.
 
+#: A match of ACTION that fails where tags end fails at every place up to the next tag; tried at each of them it takes time
+#: that grows with the square of the text between. It can only begin behind a tag's bracket or the match before it.
+FASTER = {ACTION: r"(?:\G|(?<=[<>]))" + ACTION}
+
 
 def _split_title(text: Column) -> tuple[Column, Column]:
     """The title block ("" if there is none) and the body, padded with blank lines."""
@@ -63,13 +69,18 @@ def _protected(body: Column, pattern: str) -> Column:
     return F.aggregate(found, body, lambda text, m: F.replace(text, m, F.replace(m, F.lit("\n"), F.lit(KEPT_NEWLINE))))
 
 
-def tagged(text: Column) -> Column:
-    """A script's body with every element in a tag."""
-    body = _protected(_split_title(text)[1], BLOCK_COMMENT)
-    body = _protected(body, BRACKET_COMMENT)
+def tagged(scripts: DataFrame) -> DataFrame:
+    """script_id and tagged: a script's body with every element in a tag.
+
+    Each step that is read twice is a column of its own, so that it is worked out once."""
+    df = dealt(scripts.where(F.col("text").isNotNull()).select("script_id", "text")).select("script_id", _split_title(F.col("text"))[1].alias("body"))
+    for pattern in (BLOCK_COMMENT, BRACKET_COMMENT):
+        df = df.withColumn("body", _protected(F.col("body"), pattern))
+    body = F.col("body")
     for plain, safe in (("<", "&lt;"), (">", "&gt;"), ("...", "::trip::")):
         body = F.replace(body, F.lit(plain), F.lit(safe))
-    return reduce(lambda c, rewrite: F.regexp_replace(c, *rewrite), REWRITES, body)
+    rewritten = reduce(lambda c, rewrite: F.regexp_replace(c, FASTER.get(rewrite[0], rewrite[0]), rewrite[1]), REWRITES, body)
+    return df.select("script_id", F.explode(F.array(rewritten)).alias("tagged"))  # a generator isn't merged into its readers
 
 
 def _restored(text: Column) -> Column:
@@ -80,7 +91,7 @@ def _restored(text: Column) -> Column:
 
 def elements(scripts: DataFrame) -> DataFrame:
     """The same columns as the line-by-line parser gives."""
-    df = scripts.where(F.col("text").isNotNull()).select("script_id", tagged(F.col("text")).alias("tagged")).repartition("script_id")
+    df = tagged(scripts)
     pairs = F.arrays_zip(F.regexp_extract_all("tagged", F.lit(TAGS), F.lit(1)).alias("kind"), F.regexp_extract_all("tagged", F.lit(TAGS), F.lit(2)).alias("text"))
     df = df.select("script_id", F.posexplode(pairs).alias("elem_idx", "tag")).select("script_id", "elem_idx", F.col("tag.kind").alias("element_type"), _restored(F.col("tag.text")).alias("text"))
     kind, text = F.col("element_type"), F.col("text")
@@ -105,7 +116,7 @@ def elements(scripts: DataFrame) -> DataFrame:
 
 def title_page(scripts: DataFrame) -> DataFrame:
     """As the line-by-line parser's; directives without values are dropped, and values must be indented."""
-    tops = scripts.where(F.col("text").isNotNull()).select("script_id", _split_title(F.col("text"))[0].alias("top")).where("top <> ''").repartition("script_id")
+    tops = dealt(scripts.where(F.col("text").isNotNull()).select("script_id", _split_title(F.col("text"))[0].alias("top")).where("top <> ''"))
     lines = tops.select("script_id", F.posexplode(F.split(F.regexp_replace("top", r"^\n+|\n+$", ""), "\n", -1)).alias("line_no", "line"))
     line = F.col("line")
     lines = lines.withColumn("inline", line.rlike(INLINE)).withColumn("directive", ~F.col("inline") & line.rlike(DIRECTIVE))

@@ -30,7 +30,13 @@ def normalized(scripts: DataFrame) -> DataFrame:
     return df.withColumn("body", F.concat(F.lit("\n"), cut))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt by script into as many partitions as the session shuffles into: few bytes can be much parsing, so a small
+    exchange isn't to be coalesced into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "script_id")
+
+
 def body_lines(scripts: DataFrame) -> DataFrame:
     """script_id, line_no and line, dealt by script before the rows multiply, so that later windows need no other exchange."""
-    bodies = normalized(scripts).select("script_id", "body").repartition("script_id")
+    bodies = dealt(normalized(scripts).select("script_id", "body"))
     return bodies.select("script_id", F.posexplode(F.split("body", NEWLINES, -1)).alias("line_no", "line"))

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import trim
-from inkwell.operators.normalize import DIRECTIVE, INLINE, normalized
+from inkwell.operators.normalize import DIRECTIVE, INLINE, dealt, normalized
 
 
 def title_page(scripts: DataFrame) -> DataFrame:
     """script_id, entry_idx, key and values of every entry.
 
     A directive takes the lines below it, up to the next key; lines below an inline key belong to nothing."""
-    tops = normalized(scripts).where("has_title").select("script_id", "top").repartition("script_id")
+    tops = dealt(normalized(scripts).where("has_title").select("script_id", "top"))
     lines = tops.select("script_id", F.posexplode(F.split("top", "\n", -1)).alias("line_no", "line"))
     lines = lines.withColumns({"directive": F.col("line").rlike(DIRECTIVE), "inline": F.col("line").rlike(INLINE)})
     lines = lines.withColumn("is_key", F.col("directive") | F.col("inline"))
