@@ -1,12 +1,14 @@
 """Windows of n symbols that stand more than once in a corpus, found without moving a row for each of them.
 
 Symbols are bytes or words. A window is named by the least hash of the k-symbol prefixes of the suffixes in it; windows
-in a row with one name form a run, and equal windows have equal names. Texts lie in packs of half a megabyte, and three
-questions are asked about them, each by names spread over buckets of hash ranges, a short sorted list per pack and bucket:
+in a row with one name, n at most, form a run, and equal windows have equal names. Texts lie in packs of half a megabyte, and
+three questions are asked about them, each by names spread over buckets of hash ranges, a short sorted list per pack and bucket:
 
 1. which names stand in other packs too; all windows with other names are unique between packs;
 2. which whole runs (the longer prefix: name and string) stand in other packs too, so that all their windows do, and which
-   names have different runs;
+   names have different runs. Where the strings of a bucket's names outgrow GROUP_SYMBOLS, its largest names are split and
+   the question is put again for their runs by longer prefixes: first the shared k symbols with those that follow or else
+   precede them, up to halfway to n, then all n, where what shares a name is equal and no string is left to send;
 3. which windows of the latter stand in other packs too. Now the strings themselves are sent, a bucket being a shard. A shard
    of words is a group of suffixes whose subtree is built in memory, and whose deep internal nodes are the repeats; a
    shard of bytes is sorted by external induction, and neighbours that share a window's length are equal windows.
@@ -40,7 +42,12 @@ BUCKET_BITS = 9
 BLOCK = 1 << 20
 #: Text bytes in a pack; a longer text is a pack of its own.
 PACK_BYTES = 1 << 19
-SAME, MIXED, OWNER = 1, 2, 4
+#: Words in the strings of one bucket's names, at most, and half as many as of bytes; a shard has those of two buckets.
+GROUP_SYMBOLS = 1 << 20
+SAME, MIXED, OWNER, SPLIT = 1, 2, 4, 8
+#: Levels of prefixes, of k symbols to n. Question 0 is about names, 1 to LEVELS about the runs of a level, the last about strings.
+LEVELS = 3
+STRINGS = LEVELS + 1
 
 
 @dataclass(frozen=True)
@@ -50,6 +57,10 @@ class Shape:
     by_words: bool
     by_id: bool
 
+    @property
+    def limit(self) -> int:
+        return GROUP_SYMBOLS if self.by_words else 2 * GROUP_SYMBOLS
+
 
 def span_names(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """Hashes of spans of symbols in order of their starts, at most about block symbols at a time."""
@@ -100,6 +111,8 @@ class Pack:
         border[self.offsets[self.offsets <= len(v)]] = True
         border[:-1] |= np.r_[True, (v[1:] != v[:-1]) | (over[1:] != over[:-1])][: len(v)]
         at = np.flatnonzero(border[:-1])
+        run, place = spread(-(-np.diff(np.r_[at, len(v)]) // n))  # n windows at most
+        at = at[run] + place * n
         size = np.diff(np.r_[at, len(v)])
         good = ~over[at] if len(at) else np.zeros(0, bool)
         # least hashes crowd near 0: mixed again, names spread evenly over the buckets
@@ -129,62 +142,102 @@ class Pack:
         names = np.sort(self.v)
         return names[np.concatenate([[True], names[1:] != names[:-1]])] if len(names) else names
 
-    def run_entries(self, answers: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, ...]:
-        """Runs whose names stand in other packs: their indices, their entries (name, string, least id), and each run's entry."""
+    def asked(self, answers: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, ...]:
+        """Runs whose names stand in other packs: starts, sizes, names and ids."""
         names = self.names()
         asked = np.zeros(len(names), bool)
         for bucket, (a, b) in self._buckets(names).items():
             if bucket in answers.get(0, {}):
                 asked[a:b] = np.unpackbits(np.frombuffer(answers[0][bucket], np.uint8), count=b - a).astype(bool)
         runs = np.flatnonzero(asked[np.searchsorted(names, self.v)]) if len(names) else np.zeros(0, np.int64)
-        s = span_names(self.sym, self.start[runs], self.start[runs] + self.size[runs] + self.shape.n - 1)
-        order = np.lexsort((s, self.v[runs]))
-        new = np.r_[True, (np.diff(self.v[runs][order]) != 0) | (np.diff(s[order]) != 0)][: len(order)]
-        entry = np.zeros(len(runs), np.int64)
+        return self.start[runs], self.size[runs], self.v[runs], self.id[runs]
+
+    def entries(self, runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """The entries (name, string, least id) of runs, and each run's entry."""
+        start, size, v, ids = runs
+        s = span_names(self.sym, start, start + size + self.shape.n - 1)
+        order = np.lexsort((s, v))
+        new = np.r_[True, (np.diff(v[order]) != 0) | (np.diff(s[order]) != 0)][: len(order)]
+        entry = np.zeros(len(v), np.int64)
         entry[order] = np.cumsum(new) - 1
         first = order[new]
-        return runs, self.v[runs][first], s[first], _least(entry, self.id[runs], len(first)), entry
-
-    def settled(self, answers: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, ...]:
-        """Places of windows that question 2 settled; the runs that question 3 is about, and their entries; and of all
-        entries the names and least ids."""
-        runs, v, s, least, entry = self.run_entries(answers)
-        said = np.zeros(len(v), np.uint8)
-        for bucket, (a, b) in self._buckets(v).items():
-            if bucket in answers.get(1, {}):
-                said[a:b] = np.frombuffer(answers[1][bucket], np.uint8)
-        same, mixed, owner = ((said & bit > 0)[entry] for bit in (SAME, MIXED, OWNER))
-        if self.shape.by_id:
-            mine = self.id[runs] == least[entry]
-            settled = same | ~mine
-        else:
-            mine = np.zeros(len(runs), bool)
-            mine[np.unique(entry, return_index=True)[1]] = True
-            settled = same
-        group, place = spread(self.size[runs[settled]])
-        chosen = mixed & mine & (~same | owner)
-        return self.start[runs[settled]][group] + place, runs[chosen], entry[chosen], v, least
-
-    def open_strings(self, settled: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        """Of the strings in question 3, in order of their names: names, places, lengths and least ids; and of each of
-        their windows the place in the list of all windows for every run that holds it."""
-        _, runs, entry, v, least = settled
-        e, first, back = np.unique(entry, return_index=True, return_inverse=True)
-        size = self.size[runs[first]] if len(e) else np.zeros(0, np.int64)
-        run, place = spread(self.size[runs])
-        at = (np.cumsum(size) - size)[back[run]] + place if len(e) else np.zeros(0, np.int64)
-        return v[e], self.start[runs[first]] if len(e) else size, size + self.shape.n - 1, least[e], self.start[runs][run] + place, at
+        return v[first], s[first], _least(entry, ids, len(first)), entry
+
+    def refined(self, runs: tuple[np.ndarray, ...], level: int) -> tuple[np.ndarray, ...]:
+        """Runs of one level cut into those of the next, which are named by longer prefixes."""
+        (start, size, v, ids), (n, k) = runs, (self.shape.n, self.shape.k)
+        run, place = spread(size)
+        p = start[run] + place
+        if level + 2 == LEVELS:
+            return p, np.ones(len(p), np.int64), span_names(self.sym, p, p + n), ids[run]
+        m = (n + k + 1) // 2
+        owner, place = spread(size + n - k)
+        q = start[owner] + place
+        here = mix64(least_names(self.sym, k, k)[q]) == v[owner]
+        far = len(self.sym) + 1
+        g = q[here][np.searchsorted(owner[here] * far + q[here], run * far + p)]  # the first place of the name in each window
+        a = np.where(g + m <= p + n, g, g + k - m)
+        new = np.flatnonzero(np.r_[True, (np.diff(run) != 0) | (np.diff(a) != 0)][: len(a)])
+        order = np.argsort(a[new], kind="stable")
+        names = np.empty(len(new), np.uint64)
+        names[order] = span_names(self.sym, a[new][order], a[new][order] + m)
+        return p[new], np.diff(np.r_[new, len(p)]), names, ids[run[new]]
+
+    def levels(self, answers: dict[int, dict[int, bytes]]) -> Iterator[tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...], np.ndarray, np.ndarray]]:
+        """Level by level the runs, their entries, which of them the answers settle, and which question 3 is about; ends with
+        the first level of which nothing is split."""
+        runs = self.asked(answers)
+        for level in range(LEVELS):
+            found = v, _, least, entry = self.entries(runs)
+            said = np.zeros(len(v), np.uint8)
+            for bucket, (a, b) in self._buckets(v).items():
+                if bucket in answers.get(1 + level, {}):
+                    said[a:b] = np.frombuffer(answers[1 + level][bucket], np.uint8)
+            same, mixed, owner, split = ((said & bit > 0)[entry] for bit in (SAME, MIXED, OWNER, SPLIT))
+            if self.shape.by_id:
+                mine = runs[3] == least[entry]
+                settled = same | ~mine
+            else:
+                mine = np.zeros(len(entry), bool)
+                mine[np.unique(entry, return_index=True)[1]] = True
+                settled = same
+            chosen = mixed & mine & (~same | owner)
+            yield runs, found, settled, chosen & ~split
+            if not (chosen & split).any():
+                return
+            runs = self.refined(tuple(x[chosen & split] for x in runs), level)
+
+    def open_strings(self, levels: list[tuple]) -> tuple[np.ndarray, ...]:
+        """Of the strings in question 3, in order of their shards: shards, places, lengths and least ids; and of each of
+        their windows the place in the list of all windows for every run that holds it. Levels have shards of their own."""
+        columns, before = [], 0
+        for level, ((start, size, _, _), (v, _, least, entry), _, chosen) in enumerate(levels):
+            e, first, back = np.unique(entry[chosen], return_index=True, return_inverse=True)
+            shard = (v[e] >> np.uint64(64 - self.shard_bits)).astype(np.int64) + (level << self.shard_bits)
+            columns.append((shard, start[chosen][first], size[chosen][first], least[e], start[chosen], size[chosen], back + before))
+            before += len(e)
+        shard, at, size, least, start, sizes, back = (np.concatenate(x) for x in zip(*columns))
+        order = np.argsort(shard, kind="stable")
+        shard, at, size, least = shard[order], at[order], size[order], least[order]
+        begin = np.empty(len(order), np.int64)
+        begin[order] = np.cumsum(size) - size
+        run, place = spread(sizes)
+        return shard, at, size + self.shape.n - 1, least, start[run] + place, begin[back[run]] + place
 
     def repeated(self, answers: dict[int, dict[int, bytes]]) -> np.ndarray:
         """Which symbols lie in windows that count."""
-        settled = self.settled(answers)
-        names, _, length, _, p, at = self.open_strings(settled)
+        levels = list(self.levels(answers))
+        shards, _, length, _, p, at = self.open_strings(levels)
         ends = np.r_[0, np.cumsum(length - self.shape.n + 1)]
         hit = np.zeros(int(ends[-1]), bool)
-        for bucket, (a, b) in self._buckets(names, self.shard_bits).items():
-            if bucket in answers.get(2, {}):
-                hit[ends[a] : ends[b]] = np.unpackbits(np.frombuffer(answers[2][bucket], np.uint8), count=int(ends[b] - ends[a])).astype(bool)
-        at = np.unique(np.concatenate([self.local(), settled[0], p[hit[at]]]))
+        for bucket, (a, b) in _stretches(shards).items():
+            if bucket in answers.get(STRINGS, {}):
+                hit[ends[a] : ends[b]] = np.unpackbits(np.frombuffer(answers[STRINGS][bucket], np.uint8), count=int(ends[b] - ends[a])).astype(bool)
+        places = [self.local(), p[hit[at]]]
+        for (start, size, _, _), _, settled, _ in levels:
+            run, place = spread(size[settled])
+            places.append(start[settled][run] + place)
+        at = np.unique(np.concatenate(places))
         return covered(len(self.sym), at, at + self.shape.n)
 
     @property
@@ -192,26 +245,36 @@ class Pack:
         """Question 3 is put to half as many buckets, each a shard of strings to sort."""
         return self.bits - 1
 
-    def _buckets(self, names: np.ndarray, bits: int = 0) -> dict[int, tuple[int, int]]:
+    def _buckets(self, names: np.ndarray) -> dict[int, tuple[int, int]]:
         """Where the names of each bucket begin and end in a sorted list."""
-        bucket = (names >> np.uint64(64 - (bits or self.bits))).astype(np.int64)
-        at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
-        return {int(bucket[a]): (int(a), int(b)) for a, b in zip(at, np.r_[at[1:], len(bucket)])}
+        return _stretches((names >> np.uint64(64 - self.bits)).astype(np.int64))
 
     def asks(self, question: int, answers: dict[int, dict[int, bytes]]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """Bucket, and names, strings and least ids; with question 3 the strings' symbols, their lengths and least ids."""
-        if question == 2:
-            names, start, length, least, _, _ = self.open_strings(self.settled(answers))
-            for bucket, (a, b) in self._buckets(names, self.shard_bits).items():
+        if question == STRINGS:
+            shards, start, length, least, _, _ = self.open_strings(list(self.levels(answers)))
+            for bucket, (a, b) in _stretches(shards).items():
                 text = b"".join(self.text[i : i + n].tobytes() for i, n in zip(start[a:b].tolist(), length[a:b].tolist()))
                 yield bucket, text, length[a:b].astype(np.int64).tobytes(), least[a:b].tobytes()
             return
-        columns = [self.names()] if question == 0 else list(self.run_entries(answers)[1:4])
+        if question == 0:
+            columns = [self.names()]
+        else:
+            levels = list(self.levels(answers))
+            if len(levels) < question:
+                return
+            columns = list(levels[question - 1][1][:3])
         for bucket, (a, b) in self._buckets(columns[0]).items():
             cells = [b"" if i == 2 and not self.shape.by_id else x[a:b].tobytes() for i, x in enumerate(columns)]
             yield bucket, *(cells + [b"", b""])[:3]
 
 
+def _stretches(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Where each bucket begins and ends in a sorted list."""
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+    return {int(bucket[a]): (int(a), int(b)) for a, b in zip(at, np.r_[at[1:], len(bucket)])}
+
+
 def _least(group: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     out = np.full(n, LAST, np.int64)
     np.minimum.at(out, group, ids)
@@ -232,34 +295,41 @@ def answering(question: int, shape: Shape) -> Callable[[pa.Table], pa.Table]:
 
 
 def answers_to(asked: pa.Table, question: int, shape: Shape) -> pa.Table:
-    if question == 2:
+    split = np.zeros(asked.num_rows, bool)
+    if question == STRINGS:
         cells = _sorted_shard(asked, shape)
     else:
         names, strings, least = _joined(asked["names"], np.uint64), _joined(asked["strings"], np.uint64), _joined(asked["least"], np.int64)
         size = pc.binary_length(asked["names"]).to_numpy() // 8
         pack = np.repeat(np.arange(len(size)), size)
-        if question == 1:
-            out = _compared(names, strings, least if shape.by_id else pack, shape.by_id)
+        if question:
+            out = _compared(names, strings, least if shape.by_id else pack, shape)
+            split[:] = (out & SPLIT).any()
             cells = [x.tobytes() for x in np.split(out, np.cumsum(size)[:-1])]
         else:
             _, back, count = np.unique(names, return_inverse=True, return_counts=True)
             cells = [np.packbits(x).tobytes() for x in np.split(count[back] > 1, np.cumsum(size)[:-1])]
     use = pa.array([any(x) for x in cells])
-    return pa.table({"pack": asked["pack"], "question": pa.array(np.full(len(cells), question, np.int32)), "bucket": asked["bucket"], "said": pa.array(cells, pa.binary())}).filter(use)
+    return pa.table({"pack": asked["pack"], "question": pa.array(np.full(len(cells), question, np.int32)), "bucket": asked["bucket"], "said": pa.array(cells, pa.binary()), "split": pa.array(split)}).filter(use)
 
 
-def _compared(names: np.ndarray, strings: np.ndarray, ids: np.ndarray, by_id: bool) -> np.ndarray:
-    """SAME, MIXED and OWNER of every entry."""
+def _compared(names: np.ndarray, strings: np.ndarray, ids: np.ndarray, shape: Shape) -> np.ndarray:
+    """SAME, MIXED, OWNER and SPLIT of every entry. The largest names are split until the strings of the others fit."""
     order = np.lexsort((ids, strings, names))
     new_name = np.r_[True, np.diff(names[order]) != 0]
     new = new_name | np.r_[True, np.diff(strings[order]) != 0]
     entry = np.cumsum(new) - 1
     first = order[new]  # the owner: the smallest id, else the first pack
-    same = ids[order] > ids[first][entry] if by_id else np.bincount(entry)[entry] > 1
-    mixed = (np.bincount(np.cumsum(new_name) - 1, new) > 1)[np.cumsum(new_name) - 1]
+    same = ids[order] > ids[first][entry] if shape.by_id else np.bincount(entry)[entry] > 1
+    name = np.cumsum(new_name) - 1
+    mixed = (np.bincount(name, new) > 1)[name]
     owner = ids[order] == ids[first][entry]
+    symbols = np.bincount(name, mixed & (~same | owner)) * (2 * shape.n - 1)  # no run has more
+    rising = np.argsort(symbols, kind="stable")
+    split = np.zeros(len(symbols), bool)
+    split[rising] = np.cumsum(symbols[rising]) > shape.limit
     out = np.zeros(len(names), np.uint8)
-    out[order] = same * SAME + mixed * MIXED + owner * OWNER
+    out[order] = same * SAME + mixed * MIXED + owner * OWNER + (split[name] & mixed) * SPLIT
     return out
 
 
@@ -315,16 +385,22 @@ def with_repeats(docs: DataFrame, shape: Shape, build: Callable[[pa.RecordBatch,
     packs = placed(packed(docs), "pack")
     bits = max(BUCKET_BITS, (packs.count() - 1).bit_length() - 2)
     answers: DataFrame | None = None
-    for question in (0, 1, 2):
+    wanted = True
+    for question in range(STRINGS + 1):
+        if not wanted and question < STRINGS:
+            continue
 
         def ask(batches: Iterator[pa.RecordBatch], question: int = question) -> Iterator[pa.RecordBatch]:
             for pack, texts, told in _rows(batches):
+                if 1 < question < STRINGS and not any((np.frombuffer(x, np.uint8) & SPLIT).any() for x in told.get(question - 1, {}).values()):
+                    continue
                 rows = list(_pack(unpacked(texts), shape, bits).asks(question, told))
                 columns = [pa.array([pack] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))]
                 yield pa.RecordBatch.from_arrays(columns, names=["pack", "bucket", "names", "strings", "least"])
 
         asked = _told(packs, answers).mapInArrow(ask, "pack long, bucket long, names binary, strings binary, least binary")
-        new = cut(asked.groupBy("bucket").applyInArrow(answering(question, shape), "pack long, question int, bucket long, said binary"))
+        new = cut(asked.groupBy("bucket").applyInArrow(answering(question, shape), "pack long, question int, bucket long, said binary, split boolean"))
+        wanted = not question or not new.where("split").isEmpty()
         answers = new if answers is None else answers.unionAll(new)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,3 +81,43 @@ def test_cut_repeats_keeps_columns_and_whole_texts(make_docs):
     out = {r.doc_id: r for r in substrings.cut_repeats(docs).collect()}
     assert substrings.cut_repeats(docs).columns == docs.columns
     assert (out[1].text, out[2].text, out[3].text) == ("a b", "c", "kept\n as  it is") and out[1].n_chars == 3
+
+
+def frequent_passage(n_docs):
+    """Documents around one passage, no two of them with the same text before and after it."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    return [(i, f"a{i % 7} b{i} c{i % 3} {passage} c{i % 4} d{i} e{i % 5} x{i}") for i in range(n_docs)] + [(n_docs, "q " * 90), (n_docs + 1, "q " * 70 + "r")]
+
+
+@pytest.fixture
+def shards(monkeypatch):
+    """Small packs and groups; gives the symbols of every shard that is sorted."""
+    monkeypatch.setattr(repeats, "PACK_BYTES", 400)
+    monkeypatch.setattr(repeats, "GROUP_SYMBOLS", 300, raising=False)
+
+    def sizes(rows, shape):
+        """All questions, put and answered here."""
+        packs = [rows[i : i + 4] for i in range(0, len(rows), 4)]
+        packs = [repeats.Pack(shape, np.array([d for d, _ in x]), *repeats.flat(repeats.pa.array([t for _, t in x], repeats.pa.large_string())), 9) for x in packs]
+        told, last, out = [{} for _ in packs], getattr(repeats, "STRINGS", 2), []
+        for question in range(last + 1):
+            asked = {}
+            for i, pack in enumerate(packs):
+                for bucket, *cells in pack.asks(question, told[i]):
+                    asked.setdefault(bucket, []).append((i, bucket, *cells))
+            for x in asked.values():
+                table = repeats.pa.table(dict(zip(["pack", "bucket", "names", "strings", "least"], map(list, zip(*x)))))
+                if question == last:
+                    out.append(sum(map(len, table["names"].to_pylist())) // (8 if shape.by_words else 1))
+                for r in repeats.answers_to(table, question, shape).to_pylist():
+                    told[r["pack"]].setdefault(question, {})[r["bucket"]] = r["said"]
+        return out
+
+    return sizes
+
+
+def test_words_around_a_frequent_gram_are_split(make_docs, draw, shards):
+    assert max(shards(frequent_passage(1000), repeats.Shape(7, 3, True, False)), default=0) <= 2 * 300
+    for rows in (frequent_passage(120), texts(draw, 60)):
+        found = [tuple(r) for r in substrings.word_dedup(make_docs(rows), 7).collect()]
+        assert sorted(map(repr, found)) == sorted(map(repr, by_words(rows, 7)))
