@@ -1,4 +1,5 @@
-"""Suffix arrays with common-prefix values by external induced sorting.
+"""Suffix arrays with common-prefix values by induced sorting. A shard is in memory, some 100 bytes for each of its bytes, so the
+caller bounds it; only the queue goes to a file.
 
 The suffixes at left-most S positions are sorted first, by their first depth symbols in runs that are merged. From them the
 L suffixes are induced in one ascending scan and from these the S suffixes in one descending scan. A scan takes suffixes

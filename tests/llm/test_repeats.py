@@ -121,3 +121,10 @@ def test_words_around_a_frequent_gram_are_split(make_docs, draw, shards):
     for rows in (frequent_passage(120), texts(draw, 60)):
         found = [tuple(r) for r in substrings.word_dedup(make_docs(rows), 7).collect()]
         assert sorted(map(repr, found)) == sorted(map(repr, by_words(rows, 7)))
+
+
+def test_bytes_around_a_frequent_string_are_split(make_docs, draw, shards):
+    assert max(shards(frequent_passage(1000), repeats.Shape(25, 10, False, True)), default=0) <= 4 * 300
+    for rows in (frequent_passage(120), texts(draw, 60)):
+        found = [tuple(r) for r in substrings.byte_dedup(make_docs(rows), 25).collect()]
+        assert sorted(map(repr, found)) == sorted(map(repr, by_bytes(rows, 25)))
