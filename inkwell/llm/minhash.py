@@ -183,11 +183,12 @@ def row_key() -> Column:
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs."""
-    return _judged(placed(docs.select("doc_id", "text", row_key().alias("row_key")), "row_key"), n, percent).drop("row_key")
+    return _judged(placed(docs.select("doc_id", "text", row_key().alias("row_key")), "row_key"), n, percent).drop("row_key", "leads", "alone")
 
 
 def _judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """As near_duplicates, with row_key, for docs placed by row_key."""
+    """As near_duplicates, with row_key, for docs placed by row_key; leads: whether the row is, but for rows that repeat its
+    id and text, the one that stands for its component. A row linked with nothing for lack of words leads, too."""
     rows = cut(signed(docs, n, n_bands(percent)))
     lead = F.min_by(F.struct("doc_id", "row_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
     classes = cut(rows.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), lead.alias("lead")).select("class", "n", "bands", "lead.*"))
@@ -211,22 +212,30 @@ def _judged(docs: DataFrame, n: int, percent: int) -> DataFrame:
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
-    joined = classes.select("class", F.col("doc_id").alias("first_id")).join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    joined = classes.select("class", F.col("doc_id").alias("first_id"), F.col("row_key").alias("first_key")).join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     joined = cut(joined)
-    least = cut(joined.groupBy("component").agg(F.min("first_id").alias("least_id")))
-    ids = cut(joined.join(least, "component").select("class", "least_id"))
+    lead_key = F.min_by("first_key", F.struct(F.col("first_id").isNull(), "first_id", "first_key"))
+    least = cut(joined.groupBy("component").agg(F.min("first_id").alias("least_id"), lead_key.alias("lead_key")))
+    ids = cut(joined.join(least, "component").select("class", "least_id", "lead_key"))
     out = rows.join(ids, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id"))
-    return out.select("row_key", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("row_key", "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), (F.col("class").isNull() | (F.col("row_key") == F.col("lead_key"))).alias("leads"), F.col("class").isNull().alias("alone"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates keeps."""
+    """One row of each component of docs, with all its columns, and the rows without words, which are linked with nothing.
+
+    The row has the least id, not null if any isn't; of rows that repeat its id and text the one least in all columns stays."""
     key, names = unused("row_key", docs), docs.columns
     whole = placed(docs.withColumn(key, row_key()), key)
-    judged = _judged(whole.select("doc_id", "text", F.col(key).alias("row_key")), n, percent)
-    gone = cut(judged.where("not kept").select(F.col("row_key").alias(key)).distinct())
-    return whole.join(gone, key, "left_anti").select(names)
+    judged = cut(_judged(whole.select("doc_id", "text", F.col(key).alias("row_key")), n, percent).select(F.col("row_key").alias(key), "leads", "alone"))
+    gone = judged.where("not leads").select(key).distinct()
+    again = cut(judged.where("leads and not alone").groupBy(key).count().where("count > 1").select(key))
+    if again.isEmpty():
+        return whole.join(cut(gone), key, "left_anti").select(names)
+    once = whole.join(cut(gone.unionAll(again)), key, "left_anti").select(names)
+    first = whole.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    return once.unionAll(first)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

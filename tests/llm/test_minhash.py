@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from inkwell.llm import minhash
+from inkwell.llm import minhash, substrings
 from inkwell.llm.components import components
 from tests.llm.conftest import texts
 
@@ -71,6 +71,18 @@ def test_drop_keeps_one_of_each_group(make_docs):
     assert out.columns == docs.columns and sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 2]
 
 
+def test_drop_keeps_one_row_where_ids_repeat(make_docs):
+    clean = " ".join(f"w{i}" for i in range(40))
+    near = " ".join(f"x{i}" for i in range(60))
+    rows = [(1, clean, "a"), (1, clean, "a"), (1, clean, "b"), (2, clean, "c"), (5, near), (5, near + " y"), (6, near + " y z")]
+    rows += [(None, "n1 n2 n3 n4 n5 n6"), (None, "n1 n2 n3 n4 n5 n6"), (None, None), (7, ""), (7, "")]
+    out = minhash.drop_near_duplicates(make_docs(rows))
+    left = sorted(((r.doc_id or 0), (r.text or "")[:2]) for r in out.collect())
+    assert left == [(0, ""), (0, "n1"), (1, "w0"), (5, "x0"), (7, ""), (7, "")]
+    assert [r.source for r in out.collect() if r.doc_id == 1] == ["a"]
+    assert [r.text for r in substrings.cut_repeats(out).where("doc_id = 1").collect()] == [clean]
+
+
 def test_empty_table(make_docs):
     assert minhash.near_duplicates(make_docs([])).count() == 0
 
