@@ -1,23 +1,22 @@
 """Windows of n symbols that stand more than once in a corpus, found without moving a row for each of them.
 
-Symbols are bytes or words. A window is named by the least hash of the k-symbol prefixes of the suffixes in it; windows
-in a row with one name, n at most, form a run, and equal windows have equal names. Texts lie in packs of half a megabyte, and
-three questions are asked about them, each by names spread over buckets of hash ranges, a short sorted list per pack and bucket:
-
-1. which names stand in other packs too; all windows with other names are unique between packs;
-2. which whole runs (the longer prefix: name and string) stand in other packs too, so that all their windows do, and which
-   names have different runs. Where the strings of a bucket's names outgrow GROUP_SYMBOLS, its largest names are split and
-   the question is put again for their runs by longer prefixes: first the shared k symbols with those that follow or else
-   precede them, up to halfway to n, then all n, where what shares a name is equal and no string is left to send;
-3. which windows of the latter stand in other packs too. Now the strings themselves are sent, a bucket being a shard. A shard
-   of words is a group of suffixes whose subtree is built in memory, and whose deep internal nodes are the repeats; a
-   shard of bytes is sorted by external induction, and neighbours that share a window's length are equal windows.
-
-Within a pack, sorting finds equal windows. A list holds each name once, however many copies a pack has of it, so a bucket
-has at most one entry of a frequent name per pack, and the buckets grow in number with the packs.
+Symbols are bytes or words. A window is named by the least hash of the k-symbol strings in it; windows in a row with one name,
+n at most, form a run, and equal windows have equal names. Texts lie in crates of some megabytes, and crates ask about names
+and strings by buckets of hash ranges, a sorted list per crate and bucket:
+
+1. Which names stand in several crates, or in several runs of one? All windows with other names are unique, and nothing more
+   is asked about them. Names are counted, too. One whose strings may outgrow GROUP_SYMBOLS is too heavy for a group: its
+   runs are named anew by longer prefixes, the shared k symbols with those that follow (or, at the end of a window,
+   precede) them, up to halfway to n, and the question is put again; names too heavy still are replaced by whole windows.
+2. What do the strings of the runs that are left repeat? Now strings themselves are sent, bytes or words, not hashes; a
+   crate sends each once, and equal ones of several crates are merged, both by comparing them whole. A shard of byte strings
+   is sorted by external induction, and neighbours that share n symbols are equal windows; a shard of words is split by
+   names into groups that fit in memory, of whose suffixes a tree is built, and its deep internal nodes are the repeats.
+
+Hashes so only choose what is compared; that windows are equal is found by the sorter or the trees.
 
 With by_id, a window counts if it stands in a document with a smaller id (null ids come last); without, if it stands
-anywhere else, the same document included. Hashes have 64 bits and decide what is equal.
+anywhere else, the same document included. A list holds each name once, however many copies a crate has of it.
 """
 
 from __future__ import annotations
@@ -32,22 +31,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import _BYTE, _powers, covered, cut, flat, mix64, placed, slices, span_hashes, spread, words
+from inkwell.llm.common import _BYTE, IS_SPACE, _powers, cut, flat, mix64, placed, span_hashes, spread, words
 from inkwell.llm.induced import classes
-from inkwell.llm.suffix_tree import build
+from inkwell.llm.suffix_tree import build, maximal_repeats
 
 LAST = np.iinfo(np.int64).max
-#: Buckets at least; each asks about some ten thousand names.
-BUCKET_BITS = 9
-BLOCK = 1 << 20
-#: Text bytes in a pack; a longer text is a pack of its own.
-PACK_BYTES = 1 << 19
-#: Words in the strings of one bucket's names, at most, and half as many as of bytes; a shard has those of two buckets.
+#: Symbols hashed at a time; text bytes in a crate (a longer text is a crate of its own), for a bucket of names, and for a shard.
+BLOCK, CRATE_BYTES, BUCKET_BYTES, SHARD_BYTES = 1 << 15, 1 << 22, 1 << 22, 1 << 23
+#: Words in the strings of one name, at most, and of one tree; four times as many bytes, which are sorted in files.
 GROUP_SYMBOLS = 1 << 20
-SAME, MIXED, OWNER, SPLIT = 1, 2, 4, 8
-#: Levels of prefixes, of k symbols to n. Question 0 is about names, 1 to LEVELS about the runs of a level, the last about strings.
-LEVELS = 3
-STRINGS = LEVELS + 1
+NONE, WANTED, HEAVY = 0, 1, 2
+#: Levels of prefixes, from k symbols to n. Questions 0 to 2 are about the names of a level, the last about strings.
+LEVELS = STRINGS = 3
 
 
 @dataclass(frozen=True)
@@ -59,370 +54,421 @@ class Shape:
 
     @property
     def limit(self) -> int:
-        return GROUP_SYMBOLS if self.by_words else 2 * GROUP_SYMBOLS
-
-
-def span_names(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Hashes of spans of symbols in order of their starts, at most about block symbols at a time."""
-    out, k = np.zeros(len(starts), np.uint64), 0
-    while k < len(starts):
-        last = max(k + 1, int(np.searchsorted(starts, starts[k] + block)))
-        a, b = int(starts[k]), int(ends[k:last].max())
-        up, down = _powers(b - a + 1)
-        sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(sym[a:b] * up[: b - a], out=sums[1:])
-        out[k:last] = mix64((sums[ends[k:last] - a] - sums[starts[k:last] - a]) * down[starts[k:last] - a] + (ends - starts)[k:last].astype(np.uint64))
-        k = last
-    return out
-
-
-def least_names(sym: np.ndarray, n: int, k: int) -> np.ndarray:
-    """For each window of n symbols the least hash of its k-symbol strings."""
-    out = np.zeros(max(0, len(sym) - n + 1), np.uint64)
-    up, down = _powers(BLOCK + n + 1)
-    for s in range(0, len(out), BLOCK):
-        e = min(s + BLOCK, len(out))
-        part = sym[s : e + n - 1]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(part * up[: len(part)], out=sums[1:])
-        m = mix64((sums[k:] - sums[:-k]) * down[: len(part) - k + 1])
-        span, width = 1, n - k + 1
-        while span * 2 <= width:
-            m = np.minimum(m[:-span], m[span:])
-            span *= 2
-        out[s:e] = np.minimum(m[: e - s], m[width - span : width - span + e - s])
-    return out
+        return GROUP_SYMBOLS if self.by_words else 4 * GROUP_SYMBOLS
 
 
-class Pack:
-    """A pack's texts as symbols, with the runs of its windows and what the answers so far say of them."""
+class Crate:
+    """Some texts as symbols, and the runs of their windows: places of first windows, sizes, names and ids of documents."""
 
-    def __init__(self, shape: Shape, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, bits: int):
-        self.shape, self.ids, self.bits = shape, ids, bits
+    def __init__(self, shape: Shape, batch: pa.RecordBatch):
+        self.shape = shape
+        self.ids = pc.fill_null(batch["doc_id"], LAST).to_numpy(zero_copy_only=False)
+        data, offsets = flat(pc.fill_null(batch["text"], ""))
         if shape.by_words:
             starts, ends, self.offsets = words(data, offsets)
-            self.sym = self.text = span_hashes(data, starts, ends)
+            self.sym = span_hashes(data, starts, ends)
+            self.at = np.r_[0, np.cumsum(ends - starts + 1)]
+            inside = np.ones(self.at[-1], bool)
+            inside[self.at[1:] - 1] = False
+            joined = np.full(self.at[-1], 0x20, np.uint8)  # words, each with one space behind it
+            joined[inside] = data[~IS_SPACE[data]]
+            self.raw, self.size = joined.tobytes(), len(starts)
         else:
-            self.sym, self.text, self.offsets = _BYTE[data], data, offsets
-        n = shape.n
-        v = least_names(self.sym, n, shape.k)
-        over = covered(len(v) + n, np.maximum(self.offsets[:-1], self.offsets[1:] - n + 1), np.maximum(self.offsets[1:], self.offsets[:-1]))[: len(v)]
-        border = np.zeros(len(v) + 1, bool)
-        border[self.offsets[self.offsets <= len(v)]] = True
-        border[:-1] |= np.r_[True, (v[1:] != v[:-1]) | (over[1:] != over[:-1])][: len(v)]
-        at = np.flatnonzero(border[:-1])
-        run, place = spread(-(-np.diff(np.r_[at, len(v)]) // n))  # n windows at most
-        at = at[run] + place * n
-        size = np.diff(np.r_[at, len(v)])
-        good = ~over[at] if len(at) else np.zeros(0, bool)
-        # least hashes crowd near 0: mixed again, names spread evenly over the buckets
-        self.start, self.size, self.v = at[good], size[good], mix64(v[at[good]])
-        self.row = np.searchsorted(self.offsets, self.start, side="right") - 1
-        self.id = ids[self.row] if len(ids) else np.zeros(0, np.int64)
-
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, hashes and ids of the windows in runs."""
-        run, place = spread(self.size[runs])
-        p = self.start[runs][run] + place
-        return p, span_names(self.sym, p, p + self.shape.n), self.id[runs][run]
-
-    def local(self) -> np.ndarray:
-        """Places of windows that stand elsewhere in the pack."""
-        runs = np.arange(len(self.v))
-        if self.shape.by_id:
-            _, back, count = np.unique(self.v, return_inverse=True, return_counts=True)
-            runs = np.flatnonzero(count[back] > 1)
-        p, w, ids = self.windows(runs)
-        _, back, count = np.unique(w, return_inverse=True, return_counts=True)
-        if not self.shape.by_id:
-            return p[count[back] > 1]
-        return p[_least(back, ids, len(count))[back] < ids]
-
-    def names(self) -> np.ndarray:
-        names = np.sort(self.v)
-        return names[np.concatenate([[True], names[1:] != names[:-1]])] if len(names) else names
-
-    def asked(self, answers: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, ...]:
-        """Runs whose names stand in other packs: starts, sizes, names and ids."""
-        names = self.names()
-        asked = np.zeros(len(names), bool)
-        for bucket, (a, b) in self._buckets(names).items():
-            if bucket in answers.get(0, {}):
-                asked[a:b] = np.unpackbits(np.frombuffer(answers[0][bucket], np.uint8), count=b - a).astype(bool)
-        runs = np.flatnonzero(asked[np.searchsorted(names, self.v)]) if len(names) else np.zeros(0, np.int64)
-        return self.start[runs], self.size[runs], self.v[runs], self.id[runs]
-
-    def entries(self, runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        """The entries (name, string, least id) of runs, and each run's entry."""
-        start, size, v, ids = runs
-        s = span_names(self.sym, start, start + size + self.shape.n - 1)
-        order = np.lexsort((s, v))
-        new = np.r_[True, (np.diff(v[order]) != 0) | (np.diff(s[order]) != 0)][: len(order)]
-        entry = np.zeros(len(v), np.int64)
-        entry[order] = np.cumsum(new) - 1
-        first = order[new]
-        return v[first], s[first], _least(entry, ids, len(first)), entry
+            self.raw, self.offsets, self.data, self.size = data.tobytes(), offsets, data, len(data)
+        self.runs = self._runs()
+
+    def symbols(self, a: int, b: int) -> np.ndarray:
+        return self.sym[a:b] if self.shape.by_words else _BYTE[self.data[a:b]]
+
+    def _runs(self) -> tuple[np.ndarray, ...]:
+        n, k = self.shape.n, self.shape.k
+        up, down = _powers(BLOCK + n + 1)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for s in range(0, self.size - n + 1, BLOCK):
+            e = min(s + BLOCK, self.size - n + 1)
+            part = self.symbols(s, e + n - 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * up[: len(part)], out=sums[1:])
+            m = (sums[k:] - sums[:-k]) * down[: len(part) - k + 1]
+            span, width = 1, n - k + 1
+            while span * 2 <= width:
+                m = np.minimum(m[:-span], m[span:])
+                span *= 2
+            v = np.minimum(m[: e - s], m[width - span : width - span + e - s])
+            edges = self.offsets[np.searchsorted(self.offsets, s, "right") : np.searchsorted(self.offsets, e + n - 1)]
+            over = _covered(e - s, np.maximum(0, edges - n + 1 - s), np.maximum(0, np.minimum(edges - s, e - s)))
+            new = np.ones(e - s, bool)
+            new[1:] = (v[1:] != v[:-1]) | (over[1:] != over[:-1])
+            at = np.flatnonzero(new)
+            run, place = spread(-(-np.diff(np.append(at, e - s)) // n))  # n windows at most
+            at = at[run] + place * n
+            size = np.diff(np.append(at, e - s))
+            good = ~over[at]
+            found.append((at[good] + s, size[good], v[at[good]]))
+        start, size, name = (np.concatenate(x) for x in zip(*found))
+        return start, size, mix64(name), self._ids(start)  # least hashes crowd near 0: mixed, names spread evenly
+
+    def _ids(self, places: np.ndarray) -> np.ndarray:
+        return self.ids[np.searchsorted(self.offsets, places, side="right") - 1] if len(self.ids) else np.zeros(0, np.int64)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of spans of symbols in order of their starts."""
+        out, k = np.zeros(len(starts), np.uint64), 0
+        while k < len(starts):
+            last = max(k + 1, int(np.searchsorted(starts, starts[k] + BLOCK)))
+            a, b = int(starts[k]), int(ends[k:last].max())
+            up, down = _powers(b - a + 1)
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(self.symbols(a, b) * up[: b - a], out=sums[1:])
+            out[k:last] = mix64((sums[ends[k:last] - a] - sums[starts[k:last] - a]) * down[starts[k:last] - a] + (ends - starts)[k:last].astype(np.uint64))
+            k = last
+        return out
+
+    def names(self, runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The names of runs in order, how many different strings each has, and whether the crate alone may hold repeats."""
+        start, size, name, ids = runs
+        order = np.argsort(name, kind="stable")
+        sorted_names = name[order]
+        first = np.flatnonzero(np.r_[True, sorted_names[1:] != sorted_names[:-1]][: len(order)])
+        count = np.diff(np.append(first, len(order)))
+        inside = count > 1
+        if self.shape.by_id and len(first):
+            inside = np.minimum.reduceat(ids[order], first) < np.maximum.reduceat(ids[order], first)
+        group = np.repeat(np.arange(len(first)), count)
+        some = np.flatnonzero((count > 1)[group])
+        spans = order[some]
+        by_place = np.argsort(start[spans], kind="stable")
+        hashed = np.empty(len(spans), np.uint64)
+        hashed[by_place] = self.hashes(start[spans][by_place], (start + size)[spans][by_place] + self.shape.n - 1)
+        by_string = np.lexsort((hashed, group[some]))
+        g, h = group[some][by_string], hashed[by_string]
+        differs = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])][: len(g)]
+        weight = np.bincount(g, differs, len(first))
+        weight[count == 1] = 1
+        return sorted_names[first], np.minimum(weight, 2**31).astype(np.uint32), inside
 
     def refined(self, runs: tuple[np.ndarray, ...], level: int) -> tuple[np.ndarray, ...]:
         """Runs of one level cut into those of the next, which are named by longer prefixes."""
-        (start, size, v, ids), (n, k) = runs, (self.shape.n, self.shape.k)
+        (start, size, name, ids), (n, k) = runs, (self.shape.n, self.shape.k)
         run, place = spread(size)
         p = start[run] + place
         if level + 2 == LEVELS:
-            return p, np.ones(len(p), np.int64), span_names(self.sym, p, p + n), ids[run]
+            order = np.argsort(p, kind="stable")
+            names = np.empty(len(p), np.uint64)
+            names[order] = self.hashes(p[order], p[order] + n)
+            return p, np.ones(len(p), np.int64), names, ids[run]
         m = (n + k + 1) // 2
         owner, place = spread(size + n - k)
         q = start[owner] + place
-        here = mix64(least_names(self.sym, k, k)[q]) == v[owner]
-        far = len(self.sym) + 1
+        gram = np.zeros(len(q), np.uint64)
+        up = _powers(k)[0]
+        low = int(q.min(initial=0))
+        near = self.symbols(low, int(q.max(initial=0)) + k)
+        for j in range(k):
+            gram += near[q + j - low] * up[j]
+        here = mix64(gram) == name[owner]
+        far = self.size + 1
         g = q[here][np.searchsorted(owner[here] * far + q[here], run * far + p)]  # the first place of the name in each window
         a = np.where(g + m <= p + n, g, g + k - m)
         new = np.flatnonzero(np.r_[True, (np.diff(run) != 0) | (np.diff(a) != 0)][: len(a)])
         order = np.argsort(a[new], kind="stable")
         names = np.empty(len(new), np.uint64)
-        names[order] = span_names(self.sym, a[new][order], a[new][order] + m)
-        return p[new], np.diff(np.r_[new, len(p)]), names, ids[run[new]]
+        names[order] = self.hashes(a[new][order], a[new][order] + m)
+        return p[new], np.diff(np.append(new, len(p))), names, ids[run[new]]
 
-    def levels(self, answers: dict[int, dict[int, bytes]]) -> Iterator[tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...], np.ndarray, np.ndarray]]:
-        """Level by level the runs, their entries, which of them the answers settle, and which question 3 is about; ends with
-        the first level of which nothing is split."""
-        runs = self.asked(answers)
+    def levels(self, told: dict[int, dict[int, bytes]]) -> Iterator[tuple[tuple[np.ndarray, ...], np.ndarray, tuple]]:
+        """Level by level the runs, what is said of each, and their names; ends with the first level that isn't answered."""
+        runs = self.runs
         for level in range(LEVELS):
-            found = v, _, least, entry = self.entries(runs)
-            said = np.zeros(len(v), np.uint8)
-            for bucket, (a, b) in self._buckets(v).items():
-                if bucket in answers.get(1 + level, {}):
-                    said[a:b] = np.frombuffer(answers[1 + level][bucket], np.uint8)
-            same, mixed, owner, split = ((said & bit > 0)[entry] for bit in (SAME, MIXED, OWNER, SPLIT))
-            if self.shape.by_id:
-                mine = runs[3] == least[entry]
-                settled = same | ~mine
-            else:
-                mine = np.zeros(len(entry), bool)
-                mine[np.unique(entry, return_index=True)[1]] = True
-                settled = same
-            chosen = mixed & mine & (~same | owner)
-            yield runs, found, settled, chosen & ~split
-            if not (chosen & split).any():
+            names, weight, inside = self.names(runs)
+            said = np.zeros(len(names), np.uint8)
+            buckets = told.get(-1, {}).get(0, 0)
+            for bucket, (a, b) in stretches(dealt(names, buckets)).items():
+                if bucket in told.get(level, {}):
+                    said[a:b] = np.frombuffer(told[level][bucket], np.uint8)
+            verdict = said[np.searchsorted(names, runs[2])] if len(names) else said
+            yield runs, verdict, (names, weight, inside)
+            heavy = verdict == HEAVY
+            if not heavy.any():
                 return
-            runs = self.refined(tuple(x[chosen & split] for x in runs), level)
-
-    def open_strings(self, levels: list[tuple]) -> tuple[np.ndarray, ...]:
-        """Of the strings in question 3, in order of their shards: shards, places, lengths and least ids; and of each of
-        their windows the place in the list of all windows for every run that holds it. Levels have shards of their own."""
-        columns, before = [], 0
-        for level, ((start, size, _, _), (v, _, least, entry), _, chosen) in enumerate(levels):
-            e, first, back = np.unique(entry[chosen], return_index=True, return_inverse=True)
-            shard = (v[e] >> np.uint64(64 - self.shard_bits)).astype(np.int64) + (level << self.shard_bits)
-            columns.append((shard, start[chosen][first], size[chosen][first], least[e], start[chosen], size[chosen], back + before))
-            before += len(e)
-        shard, at, size, least, start, sizes, back = (np.concatenate(x) for x in zip(*columns))
+            runs = self.refined(tuple(x[heavy] for x in runs), level)
+
+    def strings(self, told: dict[int, dict[int, bytes]], shards: int) -> tuple[list[bytes], np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
+        """The different strings of all runs that are wanted, in order of their shards, and these; the runs, and which
+        string each has."""
+        parts = [tuple(x[verdict == WANTED] for x in runs) for runs, verdict, _ in self.levels(told)]
+        start, size, name, ids = runs = tuple(np.concatenate(x) for x in zip(*parts))
+        a, b = start, start + size + self.shape.n - 1
+        if self.shape.by_words:
+            a, b = self.at[a], self.at[b] - 1
+        raw, known = self.raw, {}
+        entry = np.array([known.setdefault(raw[i:j], len(known)) for i, j in zip(a.tolist(), b.tolist())], np.int64)
+        first = np.unique(entry, return_index=True)[1]
+        shard = dealt(name[first], shards)
         order = np.argsort(shard, kind="stable")
-        shard, at, size, least = shard[order], at[order], size[order], least[order]
-        begin = np.empty(len(order), np.int64)
-        begin[order] = np.cumsum(size) - size
-        run, place = spread(sizes)
-        return shard, at, size + self.shape.n - 1, least, start[run] + place, begin[back[run]] + place
-
-    def repeated(self, answers: dict[int, dict[int, bytes]]) -> np.ndarray:
-        """Which symbols lie in windows that count."""
-        levels = list(self.levels(answers))
-        shards, _, length, _, p, at = self.open_strings(levels)
-        ends = np.r_[0, np.cumsum(length - self.shape.n + 1)]
-        hit = np.zeros(int(ends[-1]), bool)
-        for bucket, (a, b) in _stretches(shards).items():
-            if bucket in answers.get(STRINGS, {}):
-                hit[ends[a] : ends[b]] = np.unpackbits(np.frombuffer(answers[STRINGS][bucket], np.uint8), count=int(ends[b] - ends[a])).astype(bool)
-        places = [self.local(), p[hit[at]]]
-        for (start, size, _, _), _, settled, _ in levels:
-            run, place = spread(size[settled])
-            places.append(start[settled][run] + place)
-        at = np.unique(np.concatenate(places))
-        return covered(len(self.sym), at, at + self.shape.n)
-
-    @property
-    def shard_bits(self) -> int:
-        """Question 3 is put to half as many buckets, each a shard of strings to sort."""
-        return self.bits - 1
-
-    def _buckets(self, names: np.ndarray) -> dict[int, tuple[int, int]]:
-        """Where the names of each bucket begin and end in a sorted list."""
-        return _stretches((names >> np.uint64(64 - self.bits)).astype(np.int64))
-
-    def asks(self, question: int, answers: dict[int, dict[int, bytes]]) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """Bucket, and names, strings and least ids; with question 3 the strings' symbols, their lengths and least ids."""
-        if question == STRINGS:
-            shards, start, length, least, _, _ = self.open_strings(list(self.levels(answers)))
-            for bucket, (a, b) in _stretches(shards).items():
-                text = b"".join(self.text[i : i + n].tobytes() for i, n in zip(start[a:b].tolist(), length[a:b].tolist()))
-                yield bucket, text, length[a:b].astype(np.int64).tobytes(), least[a:b].tobytes()
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        strings = list(known)
+        return [strings[i] for i in order.tolist()], shard[order], runs, back[entry]
+
+    def asks(self, question: int, told: dict[int, dict[int, bytes]], buckets: int) -> Iterator[tuple[int, list[bytes]]]:
+        """Bucket, and names, their counts and flags, or else strings, their sizes, their least ids or counts, and names."""
+        if question < STRINGS:
+            levels = list(self.levels(told))
+            if len(levels) > question:
+                columns = levels[question][2]
+                for bucket, (a, b) in stretches(dealt(columns[0], buckets)).items():
+                    yield bucket, [*(x[a:b].tobytes() for x in columns), b""]
             return
-        if question == 0:
-            columns = [self.names()]
+        strings, shard, (_, _, name, ids), entry = self.strings(told, buckets)
+        if self.shape.by_id:
+            most = least(entry, ids, len(strings))
         else:
-            levels = list(self.levels(answers))
-            if len(levels) < question:
-                return
-            columns = list(levels[question - 1][1][:3])
-        for bucket, (a, b) in self._buckets(columns[0]).items():
-            cells = [b"" if i == 2 and not self.shape.by_id else x[a:b].tobytes() for i, x in enumerate(columns)]
-            yield bucket, *(cells + [b"", b""])[:3]
-
-
-def _stretches(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
+            most = np.minimum(2, np.bincount(entry, minlength=len(strings)))
+        names = np.zeros(len(strings), np.uint64)
+        names[entry] = name
+        size = np.array([len(x) for x in strings], np.uint32)
+        for bucket, (a, b) in stretches(shard).items():
+            yield bucket, [b"".join(strings[a:b]), size[a:b].tobytes(), most[a:b].tobytes(), names[a:b].tobytes()]
+
+    def repeated(self, told: dict[int, dict[int, bytes]], shards: int) -> np.ndarray:
+        """Which symbols lie in windows that count."""
+        strings, shard, (start, _, _, ids), entry = self.strings(told, shards)
+        count, size, value = np.zeros(len(strings), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for bucket, (a, b) in stretches(shard).items():
+            if bucket in told.get(STRINGS, {}):
+                part = Stretches.read(told[STRINGS][bucket], b - a)
+                count[a:b] = part.count
+                size.append(part.size)
+                value.append(part.value)
+        size, value = np.concatenate(size), np.concatenate(value)
+        before = np.r_[0, np.cumsum(size)]
+        own = np.cumsum(count) - count
+        run, place = spread(count[entry])
+        at = own[entry[run]] + place
+        hit = value[at] < ids[run] if self.shape.by_id else value[at] > 0
+        run, at = run[hit], at[hit]
+        begin = start[run] + before[at] - before[own[entry[run]]]
+        return _covered(self.size, begin, begin + size[at] + self.shape.n - 1)
+
+
+@dataclass
+class Stretches:
+    """For strings laid out one after another the values of their windows, as stretches of equal ones: how many each string
+    has, their sizes and values."""
+
+    count: np.ndarray
+    size: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, values: np.ndarray, windows: np.ndarray) -> Stretches:
+        new = np.zeros(len(values) + 1, bool)
+        new[:-1] = np.r_[True, values[1:] != values[:-1]][: len(values)]
+        new[np.cumsum(windows) - windows] = True
+        at = np.flatnonzero(new[:-1])
+        string = np.repeat(np.arange(len(windows)), windows)[at]
+        return cls(np.bincount(string, minlength=len(windows)), np.diff(np.append(at, len(values))), values[at])
+
+    def take(self, strings: np.ndarray) -> Stretches:
+        begin = np.cumsum(self.count) - self.count
+        own, place = spread(self.count[strings])
+        at = begin[strings][own] + place
+        return Stretches(self.count[strings], self.size[at], self.value[at])
+
+    def write(self) -> bytes:
+        return b"".join([self.count.astype(np.uint16).tobytes(), self.size.astype(np.uint16).tobytes(), self.value.astype(np.int64).tobytes()])
+
+    @classmethod
+    def read(cls, raw: bytes, n: int) -> Stretches:
+        count = np.frombuffer(raw, np.uint16, n).astype(np.int64)
+        total = int(count.sum())
+        return cls(count, np.frombuffer(raw, np.uint16, total, 2 * n).astype(np.int64), np.frombuffer(raw[2 * (n + total) :], np.int64))
+
+
+def dealt(names: np.ndarray, buckets: int) -> np.ndarray:
+    """The hash range of each name, of so many."""
+    return ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def stretches(bucket: np.ndarray) -> dict[int, tuple[int, int]]:
     """Where each bucket begins and ends in a sorted list."""
     at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
-    return {int(bucket[a]): (int(a), int(b)) for a, b in zip(at, np.r_[at[1:], len(bucket)])}
+    return {int(bucket[a]): (int(a), int(b)) for a, b in zip(at, np.append(at[1:], len(bucket)))}
 
 
-def _least(group: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+def least(group: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     out = np.full(n, LAST, np.int64)
     np.minimum.at(out, group, ids)
     return out
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _covered(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of size places lie in one of the spans."""
+    step = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
+    return np.cumsum(step)[:-1] > 0
 
 
-def answering(question: int, shape: Shape) -> Callable[[pa.Table], pa.Table]:
-    """A function that answers all packs that ask about the names of one bucket."""
+def answered(question: int, shape: Shape) -> Callable[[pa.Table], pa.Table]:
+    """A function that answers all crates that ask about one bucket."""
 
     def reply(asked: pa.Table) -> pa.Table:
-        return answers_to(asked, question, shape)
+        cells = repeats_of(asked, shape) if question == STRINGS else verdicts(asked, question, shape)
+        heavy = pa.array([question < STRINGS and bytes([HEAVY]) in x for x in cells], pa.bool_())
+        return pa.table({"crate": asked["crate"], "question": pa.array([question] * len(cells), pa.int32()), "bucket": asked["bucket"], "said": pa.array(cells, pa.binary()), "heavy": heavy})
 
     return reply
 
 
-def answers_to(asked: pa.Table, question: int, shape: Shape) -> pa.Table:
-    split = np.zeros(asked.num_rows, bool)
-    if question == STRINGS:
-        cells = _sorted_shard(asked, shape)
-    else:
-        names, strings, least = _joined(asked["names"], np.uint64), _joined(asked["strings"], np.uint64), _joined(asked["least"], np.int64)
-        size = pc.binary_length(asked["names"]).to_numpy() // 8
-        pack = np.repeat(np.arange(len(size)), size)
-        if question:
-            out = _compared(names, strings, least if shape.by_id else pack, shape)
-            split[:] = (out & SPLIT).any()
-            cells = [x.tobytes() for x in np.split(out, np.cumsum(size)[:-1])]
-        else:
-            _, back, count = np.unique(names, return_inverse=True, return_counts=True)
-            cells = [np.packbits(x).tobytes() for x in np.split(count[back] > 1, np.cumsum(size)[:-1])]
-    use = pa.array([any(x) for x in cells])
-    return pa.table({"pack": asked["pack"], "question": pa.array(np.full(len(cells), question, np.int32)), "bucket": asked["bucket"], "said": pa.array(cells, pa.binary()), "split": pa.array(split)}).filter(use)
-
-
-def _compared(names: np.ndarray, strings: np.ndarray, ids: np.ndarray, shape: Shape) -> np.ndarray:
-    """SAME, MIXED, OWNER and SPLIT of every entry. The largest names are split until the strings of the others fit."""
-    order = np.lexsort((ids, strings, names))
-    new_name = np.r_[True, np.diff(names[order]) != 0]
-    new = new_name | np.r_[True, np.diff(strings[order]) != 0]
-    entry = np.cumsum(new) - 1
-    first = order[new]  # the owner: the smallest id, else the first pack
-    same = ids[order] > ids[first][entry] if shape.by_id else np.bincount(entry)[entry] > 1
-    name = np.cumsum(new_name) - 1
-    mixed = (np.bincount(name, new) > 1)[name]
-    owner = ids[order] == ids[first][entry]
-    symbols = np.bincount(name, mixed & (~same | owner)) * (2 * shape.n - 1)  # no run has more
-    rising = np.argsort(symbols, kind="stable")
-    split = np.zeros(len(symbols), bool)
-    split[rising] = np.cumsum(symbols[rising]) > shape.limit
-    out = np.zeros(len(names), np.uint8)
-    out[order] = same * SAME + mixed * MIXED + owner * OWNER + (split[name] & mixed) * SPLIT
-    return out
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _sorted_shard(asked: pa.Table, shape: Shape) -> list[bytes]:
-    """For each pack, which windows of its strings stand in strings with smaller ids, or in other packs.
-
-    Words: the deep nodes of the shard's suffix subtree. Bytes: neighbours in its suffix array, sorted by induction."""
-    data = _joined(asked["names"], np.uint64 if shape.by_words else np.uint8)
-    length, least = _joined(asked["strings"], np.int64), _joined(asked["least"], np.int64)
-    size = length - shape.n + 1
-    per = pc.binary_length(asked["strings"]).to_numpy() // 8
-    ends = np.r_[0, np.cumsum(size)][np.cumsum(per)]
-    if shape.by_words:
-        tree = build(data, length, shape.n)
-        group, place = spread(size)
-        number = np.empty(len(data), np.int64)
-        number[tree.leaf] = tree.nodes(shape.n)
-        number = number[(np.cumsum(length) - length)[group] + place]
-    else:
-        number = classes(data, length, shape.n)
-    ids = np.repeat(least, size) if shape.by_id else np.repeat(np.arange(len(per)), np.diff(np.r_[0, ends]))
-    first = _least(number, ids, int(number.max()) + 1)
-    hit = ids > first[number] if shape.by_id else (first < -_least(number, -ids, len(first)))[number]
-    return [np.packbits(x).tobytes() for x in np.split(hit, ends[:-1])]
+def verdicts(asked: pa.Table, question: int, shape: Shape) -> list[bytes]:
+    """For each crate which of its names stand elsewhere, too, and which of these are too heavy."""
+    names, weight, inside = (_joined(asked[c], kind) for c, kind in (("first", np.uint64), ("second", np.uint32), ("third", bool)))
+    size = pc.binary_length(asked["first"]).to_numpy() // 8
+    _, back, count = np.unique(names, return_inverse=True, return_counts=True)
+    wanted = (count > 1) | (np.bincount(back, inside, len(count)) > 0)
+    heavy = wanted & (np.bincount(back, weight, len(count)) * (2 * shape.n - 1) > shape.limit) & (question + 1 < LEVELS)
+    out = np.where(heavy, HEAVY, wanted * WANTED).astype(np.uint8)[back]
+    return [x.tobytes() for x in np.split(out, np.cumsum(size)[:-1])]
+
+
+def repeats_of(asked: pa.Table, shape: Shape) -> list[bytes]:
+    """For each crate the least ids of the windows of its strings, or whether these stand elsewhere, too, as Stretches."""
+    known: dict[bytes, int] = {}
+    entry: list[int] = []
+    for text, sizes in zip(asked["first"].to_pylist(), asked["second"].to_pylist()):
+        ends = np.cumsum(np.frombuffer(sizes, np.uint32).astype(np.int64)).tolist()
+        entry += [known.setdefault(text[a:b], len(known)) for a, b in zip([0, *ends], ends)]
+    most, names = _joined(asked["third"], np.int64), _joined(asked["fourth"], np.uint64)
+    entry, strings = np.array(entry, np.int64), list(known)
+    first = np.unique(entry, return_index=True)[1]
+    own = least(entry, most, len(strings)) if shape.by_id else np.bincount(entry, most, len(strings)).astype(np.int64)
+    found = _trees(strings, names[first], own, shape) if shape.by_words else _induced(strings, own, shape)
+    per = pc.binary_length(asked["second"]).to_numpy() // 4
+    return [found.take(x).write() for x in np.split(entry, np.cumsum(per)[:-1])]
+
+
+def _induced(strings: list[bytes], own: np.ndarray, shape: Shape) -> Stretches:
+    """own: of each string the least id, or how often it stands."""
+    lengths = np.array([len(x) for x in strings], np.int64)
+    windows = lengths - shape.n + 1
+    number = classes(np.frombuffer(b"".join(strings), np.uint8), lengths, shape.n)
+    each = np.repeat(own, windows)
+    top = int(number.max()) + 1
+    if shape.by_id:
+        return Stretches.of(least(number, each, top)[number], windows)
+    return Stretches.of((np.bincount(number, each, top) > 1)[number].astype(np.int64), windows)
+
+
+def _trees(strings: list[bytes], names: np.ndarray, own: np.ndarray, shape: Shape) -> Stretches:
+    """As _induced, for strings of words, which are split by names into groups for a tree each."""
+    order = np.argsort(names, kind="stable")
+    lengths = np.array([x.count(b" ") + 1 for x in strings], np.int64)
+    new = np.flatnonzero(np.r_[True, np.diff(names[order]) != 0])
+    sums = np.append(np.r_[0, np.cumsum(lengths[order])][new], lengths.sum())
+    counts, sizes, values, k = [], [], [], 0
+    while k < len(new):  # names are added while their strings fit
+        last = max(k + 1, int(np.searchsorted(sums, sums[k] + GROUP_SYMBOLS, side="right")) - 1)
+        mine = order[new[k] : new[last] if last < len(new) else len(order)]
+        part = _tree([strings[i] for i in mine.tolist()], lengths[mine], own[mine], shape)
+        counts.append(part.count)
+        sizes.append(part.size)
+        values.append(part.value)
+        k = last
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return Stretches(*(np.concatenate(x) for x in (counts, sizes, values))).take(back)
+
+
+def _tree(strings: list[bytes], lengths: np.ndarray, own: np.ndarray, shape: Shape) -> Stretches:
+    windows = lengths - shape.n + 1
+    group, place = spread(windows)
+    code: dict[bytes, int] = {}
+    symbols = np.array([code.setdefault(w, len(code)) for w in b" ".join(strings).split(b" ")], np.int64)
+    at = (np.cumsum(lengths) - lengths)[group] + place
+    if shape.by_id:
+        tree = build(symbols, lengths, shape.n)
+        node = np.empty(len(symbols), np.int64)
+        node[tree.leaf] = tree.nodes(shape.n)
+        return Stretches.of(least(node[at], own[group], len(tree.leaf))[node[at]], windows)
+    more = np.flatnonzero(own > 1)  # strings that stand more than once are hung in twice
+    again = symbols[np.repeat((np.cumsum(lengths) - lengths)[more], lengths[more]) + spread(lengths[more])[1]]
+    tree = build(np.concatenate([symbols, again]), np.concatenate([lengths, lengths[more]]), shape.n)
+    start, length = maximal_repeats(tree, len(symbols) + len(again), shape.n)
+    hit = _covered(len(symbols) + len(again), start, start + length - shape.n + 1)
+    return Stretches.of(hit[at].astype(np.int64), windows)
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """docs in packs (pack, texts): some rows with all their columns, as one Arrow stream."""
+    """docs in crates (crate, size, texts): some rows with all their columns, as one Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", PACK_BYTES):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch)
-            yield pa.RecordBatch.from_pydict({"pack": pa.array([number], pa.int64()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-            number += 1
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:
+                before = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + CRATE_BYTES, side="right")))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch.slice(start, stop - start))
+                yield pa.RecordBatch.from_pydict({"crate": pa.array([number], pa.int64()), "size": pa.array([int(ends[stop - 1]) - before], pa.int64()), "texts": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+                number, start = number + 1, stop
 
-    return docs.mapInArrow(run, "pack long, texts binary")
+    return docs.mapInArrow(run, "crate long, size long, texts binary")
 
 
 def unpacked(raw: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(raw).read_next_batch()
 
 
-def _pack(batch: pa.RecordBatch, shape: Shape, bits: int) -> Pack:
-    ids = pc.fill_null(batch["doc_id"], LAST).to_numpy(zero_copy_only=False)
-    return Pack(shape, ids, *flat(batch["text"]), bits)
-
-
-def with_repeats(docs: DataFrame, shape: Shape, build: Callable[[pa.RecordBatch, Pack, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
-    """What build makes of each slice of docs, its Pack, and the mask of its symbols in windows that count."""
-    packs = placed(packed(docs), "pack")
-    bits = max(BUCKET_BITS, (packs.count() - 1).bit_length() - 2)
+def with_repeats(docs: DataFrame, shape: Shape, make: Callable[[pa.RecordBatch, Crate, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What make makes of each batch of docs, its Crate, and the mask of its symbols in windows that count."""
+    crates = placed(packed(docs), "crate")
+    size = crates.agg(F.sum("size")).first()[0] or 0
+    buckets, shards = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // SHARD_BYTES))
     answers: DataFrame | None = None
-    wanted = True
+    heavy = True
     for question in range(STRINGS + 1):
-        if not wanted and question < STRINGS:
+        if not heavy and question < STRINGS:
             continue
+        many = shards if question == STRINGS else buckets
+
+        def ask(batches: Iterator[pa.RecordBatch], question: int = question, many: int = many) -> Iterator[pa.RecordBatch]:
+            for crate, texts, told in _rows(batches, buckets):
+                rows = list(Crate(shape, unpacked(texts)).asks(question, told, many))
+                columns = [pa.array([crate] * len(rows), pa.int64()), pa.array([b for b, _ in rows], pa.int64()), *(pa.array([x[i] for _, x in rows], pa.binary()) for i in range(4))]
+                yield pa.RecordBatch.from_arrays(columns, names=["crate", "bucket", "first", "second", "third", "fourth"])
 
-        def ask(batches: Iterator[pa.RecordBatch], question: int = question) -> Iterator[pa.RecordBatch]:
-            for pack, texts, told in _rows(batches):
-                if 1 < question < STRINGS and not any((np.frombuffer(x, np.uint8) & SPLIT).any() for x in told.get(question - 1, {}).values()):
-                    continue
-                rows = list(_pack(unpacked(texts), shape, bits).asks(question, told))
-                columns = [pa.array([pack] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))]
-                yield pa.RecordBatch.from_arrays(columns, names=["pack", "bucket", "names", "strings", "least"])
-
-        asked = _told(packs, answers).mapInArrow(ask, "pack long, bucket long, names binary, strings binary, least binary")
-        new = cut(asked.groupBy("bucket").applyInArrow(answering(question, shape), "pack long, question int, bucket long, said binary, split boolean"))
-        wanted = not question or not new.where("split").isEmpty()
+        asked = _told(crates, answers).mapInArrow(ask, "crate long, bucket long, first binary, second binary, third binary, fourth binary")
+        new = cut(asked.groupBy("bucket").applyInArrow(answered(question, shape), "crate long, question int, bucket long, said binary, heavy boolean"))
+        heavy = question < STRINGS and not new.where("heavy").isEmpty()
         answers = new if answers is None else answers.unionAll(new)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, told in _rows(batches):
+        for _, texts, told in _rows(batches, buckets):
             batch = unpacked(texts)
-            pack = _pack(batch, shape, bits)
-            yield build(batch, pack, pack.repeated(told))
+            crate = Crate(shape, batch)
+            yield make(batch, crate, crate.repeated(told, shards))
 
-    return _told(packs, answers).mapInArrow(finish, schema)
+    return _told(crates, answers).mapInArrow(finish, schema)
 
 
-def _told(packs: DataFrame, answers: DataFrame | None) -> DataFrame:
+def _told(crates: DataFrame, answers: DataFrame | None) -> DataFrame:
     if answers is None:
-        return packs.withColumn("told", F.lit(None).cast("array<struct<question:int,bucket:long,said:binary>>"))
-    own = answers.groupBy("pack").agg(F.collect_list(F.struct("question", "bucket", "said")).alias("told"))
-    return packs.join(own, "pack", "left")
+        return crates.select("crate", "texts", F.lit(None).cast("array<struct<question:int,bucket:long,said:binary>>").alias("told"))
+    own = answers.groupBy("crate").agg(F.collect_list(F.struct("question", "bucket", "said")).alias("told"))
+    return crates.select("crate", "texts").join(own, "crate", "left")
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, dict[int, dict[int, bytes]]]]:
+def _rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[tuple[int, bytes, dict[int, dict[int, bytes]]]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            told: dict[int, dict[int, bytes]] = {}
+            told: dict = {-1: {0: buckets}}
             for x in batch["told"][i].as_py() or []:
                 told.setdefault(x["question"], {})[x["bucket"]] = x["said"]
-            yield batch["pack"][i].as_py(), batch["texts"][i].as_py(), told
+            yield batch["crate"][i].as_py(), batch["texts"][i].as_py(), told

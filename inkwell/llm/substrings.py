@@ -1,8 +1,13 @@
 """Exact substring de-duplication over bytes and over words.
 
 op5: every byte of a 50-byte string goes that also starts in a document with a smaller id. op10: every word of a 35-word
-window goes whose words also start anywhere else. Both judge the texts as they came in. Null texts are empty; texts shorter
-than a window lose nothing; repeated rows are documents of their own.
+window goes whose words also start anywhere else. Both judge the texts as they came in. cut_repeats, for a corpus that is to
+lose no passage, leaves each in the document with the smallest id.
+
+Null texts are empty (cut_repeats leaves them null), null ids come after all others; texts shorter than a window lose nothing,
+and an empty table gives an empty one. Rows that repeat an id are documents of their own for op10; for op5 and cut_repeats
+neither has a smaller id, so that both keep what only they share. A text is held whole by one task, with some 15 bytes for
+each of its bytes; it is hashed block by block. Columns of any name but doc_id and text are left alone.
 """
 
 from __future__ import annotations
@@ -11,10 +16,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.common import flat, table
-from inkwell.llm.repeats import Pack, Shape, with_repeats
+from inkwell.llm.repeats import Crate, Shape, with_repeats
 
 BYTES, WORDS = 50, 35
 
@@ -23,8 +29,8 @@ def _hex(parts: list[bytes], between: bytes) -> str:
     return hashlib.sha256(between.join(parts)).hexdigest()
 
 
-def byte_digests(batch: pa.RecordBatch, pack: Pack, gone: np.ndarray) -> pa.RecordBatch:
-    data, offsets = flat(batch["text"])
+def byte_digests(batch: pa.RecordBatch, crate: Crate, gone: np.ndarray) -> pa.RecordBatch:
+    data, offsets = flat(pc.fill_null(batch["text"], ""))
     total = np.r_[0, np.cumsum(gone)]
     begins = gone & ~np.r_[False, gone[:-1]]
     begins[offsets[:-1][offsets[:-1] < len(gone)]] = gone[offsets[:-1][offsets[:-1] < len(gone)]]
@@ -34,19 +40,19 @@ def byte_digests(batch: pa.RecordBatch, pack: Pack, gone: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def kept_words(batch: pa.RecordBatch, pack: Pack, gone: np.ndarray) -> list[list[bytes]]:
+def kept_words(batch: pa.RecordBatch, crate: Crate, gone: np.ndarray) -> list[list[bytes]]:
     """The words of each text that stay."""
     out = []
-    for text, a, b in zip(batch["text"].to_pylist(), pack.offsets[:-1], pack.offsets[1:]):
-        found = text.encode().split()  # at the six ASCII spaces
+    for text, a, b in zip(batch["text"].to_pylist(), crate.offsets[:-1], crate.offsets[1:]):
+        found = (text or "").encode().split()  # at the six ASCII spaces
         out.append([w for w, x in zip(found, gone[a:b].tolist()) if not x] if gone[a:b].any() else found)
     return out
 
 
-def word_digests(batch: pa.RecordBatch, pack: Pack, gone: np.ndarray) -> pa.RecordBatch:
+def word_digests(batch: pa.RecordBatch, crate: Crate, gone: np.ndarray) -> pa.RecordBatch:
     total = np.r_[0, np.cumsum(gone)]
-    at = pack.offsets
-    columns = [batch["doc_id"], pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]]), pa.array([_hex(x, b" ") for x in kept_words(batch, pack, gone)], pa.string())]
+    at = crate.offsets
+    columns = [batch["doc_id"], pa.array(np.diff(at)), pa.array(total[at[1:]] - total[at[:-1]]), pa.array([_hex(x, b" ") for x in kept_words(batch, crate, gone)], pa.string())]
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
@@ -59,18 +65,22 @@ def word_dedup(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
 
 def cut_repeats(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """docs with all their columns, repeated windows of n words cut from text; a text that loses none stays as it is."""
+    """docs with all their columns, windows of n words cut from text that also stand in a document with a smaller id; a text
+    that loses none stays as it is. n_chars, where there is such a column, is that of the text that is left."""
     names = docs.columns
 
-    def build(batch: pa.RecordBatch, pack: Pack, gone: np.ndarray) -> pa.RecordBatch:
-        loses = [bool(gone[a:b].any()) for a, b in zip(pack.offsets[:-1], pack.offsets[1:])]
-        texts = [b" ".join(ws).decode() if lost else text for ws, lost, text in zip(kept_words(batch, pack, gone), loses, batch["text"].to_pylist())]
-        batch = batch.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
+    def make(batch: pa.RecordBatch, crate: Crate, gone: np.ndarray) -> pa.RecordBatch:
+        loses = [bool(gone[a:b].any()) for a, b in zip(crate.offsets[:-1], crate.offsets[1:])]
+        if not any(loses):
+            return batch
+        texts = [b" ".join(ws).decode() if lost else text for ws, lost, text in zip(kept_words(batch, crate, gone), loses, batch["text"].to_pylist())]
+        batch = batch.set_column(names.index("text"), "text", pa.array(texts, batch["text"].type))
         if "n_chars" in names:
-            batch = batch.set_column(names.index("n_chars"), "n_chars", pa.array([len(x) for x in texts], pa.int64()))
+            sizes = [len(x) if lost else old for x, lost, old in zip(texts, loses, batch["n_chars"].to_pylist())]
+            batch = batch.set_column(names.index("n_chars"), "n_chars", pa.array(sizes, batch["n_chars"].type))
         return batch
 
-    return with_repeats(docs, Shape(n, max(1, n // 2), True, False), build, docs.schema)
+    return with_repeats(docs, Shape(n, max(1, n // 2), True, True), make, docs.schema)
 
 
 def op5_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,30 +23,18 @@ class Subtree:
         """For each leaf the number of the highest node at or below depth over it; a leaf alone is one too."""
         return np.cumsum(self.parts < depth) - 1
 
-    def internal(self, depth: int) -> list[tuple[int, int, int]]:
-        """Internal nodes at or below depth, as (first leaf, last leaf + 1, depth)."""
-        out: list[tuple[int, int, int]] = []
-        heights: list[tuple[int, int]] = [(0, -1)]
-        for k, d in enumerate([*self.parts.tolist(), 0]):
-            start = k - 1
-            while heights[-1][1] > d and heights[-1][1] > 0:
-                start, height = heights.pop()
-                if height >= depth:
-                    out.append((start, k, height))
-            if heights[-1][1] < d:
-                heights.append((start, d))
-        return sorted(out)
+    def parents(self) -> np.ndarray:
+        """For each leaf the depth of the internal node that it hangs on: how long a string from there stands elsewhere."""
+        return np.maximum(self.parts, np.append(self.parts[1:], 0)) if len(self.leaf) else self.parts
 
 
-def build(symbols: np.ndarray, lengths: np.ndarray, depth: int, whole: bool = False) -> Subtree:
-    """The subtree of the suffixes with depth symbols left of strings laid out in symbols.
-
-    It is cut at depth, unless whole: then leaves stand in the order of all their symbols."""
+def build(symbols: np.ndarray, lengths: np.ndarray, depth: int) -> Subtree:
+    """The subtree of the suffixes with depth symbols left of strings laid out in symbols, which are small integers."""
     ends = np.repeat(np.cumsum(lengths), lengths)
     left = ends - np.arange(len(symbols))  # symbols up to the end of the string
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+    rank = symbols.astype(np.int64)
     levels, h = [(1, rank)], 1
-    while h * 2 <= depth or whole and h < lengths.max(initial=0):
+    while h < lengths.max(initial=0):
         key = (rank + 1) * (int(rank.max(initial=0)) + 2)
         at = np.flatnonzero(left > h)
         key[at] += rank[at + h] + 1
@@ -56,24 +44,21 @@ def build(symbols: np.ndarray, lengths: np.ndarray, depth: int, whole: bool = Fa
     leaf = np.flatnonzero(left >= depth)
     if not len(leaf):
         return Subtree(leaf, leaf)
-    leaf = leaf[np.argsort(rank[leaf], kind="stable")] if whole else leaf[np.lexsort((rank[leaf + depth - h], rank[leaf]))]
+    leaf = leaf[np.argsort(rank[leaf], kind="stable")]
     a, b = leaf[:-1], leaf[1:]
     parts = np.zeros(len(a), np.int64)
     for h, rank in reversed(levels):
         at = np.flatnonzero((left[a] - parts >= h) & (left[b] - parts >= h))
         at = at[rank[a[at] + parts[at]] == rank[b[at] + parts[at]]]
         parts[at] += h
-    return Subtree(leaf, np.r_[0, parts if whole else np.minimum(parts, depth)])
+    return Subtree(leaf, np.r_[0, parts])
 
 
-def maximal_repeats(symbols: np.ndarray, lengths: np.ndarray, depth: int) -> list[tuple[int, list[int]]]:
-    """(length, places) of the repeats of at least depth symbols that can be made longer on neither side."""
-    tree = build(symbols, lengths, depth, whole=True)
-    starts = {0, *np.cumsum(lengths).tolist()}
-    out = []
-    for a, b, d in tree.internal(depth):
-        places = tree.leaf[a:b]
-        before = {None if p in starts else symbols[p - 1] for p in places.tolist()}
-        if len(before) > 1 or None in before:
-            out.append((d, sorted(places.tolist())))
-    return out
+def maximal_repeats(tree: Subtree, size: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and lengths of strings of at least depth symbols that also stand elsewhere, as long as the internal nodes say;
+    those inside the one that starts a place before are left out. size: symbols of all strings."""
+    longest = np.zeros(size + 1, np.int64)
+    longest[tree.leaf] = tree.parents()
+    longest[longest < depth] = 0
+    at = np.flatnonzero(longest[:-1] > np.maximum(0, np.r_[0, longest[:-2]] - 1)) if size else np.zeros(0, np.int64)
+    return at, longest[at]

@@ -32,20 +32,24 @@ def test_leaves_and_nodes(seed):
 
 @pytest.mark.parametrize("seed", range(40))
 def test_maximal_repeats(seed):
+    """Each is as long as a string from its place stands elsewhere, and together they hold all windows that do."""
     parts = strings(seed)
     flat, lengths, depth = np.array(sum(parts, []), np.uint64), np.array([len(p) for p in parts]), 4
-    starts = np.cumsum([0, *lengths[:-1]]).tolist()
-    ends = {s: s + len(p) for s, p in zip(starts, parts)}
-    end_of = {i: e for s, e in ends.items() for i in range(s, e)}
-    found = suffix_tree.maximal_repeats(flat, lengths, depth)
-    wanted = set()
-    places = list(end_of)
-    for i in places:
-        for j in places:
-            if i < j and (i in starts or j in starts or flat[i - 1] != flat[j - 1]):
-                n = 0
-                while i + n < end_of[i] and j + n < end_of[j] and flat[i + n] == flat[j + n]:
-                    n += 1
-                if n >= depth:
-                    wanted.add(tuple(flat[i : i + n].tolist()))
-    assert {tuple(flat[p[0] : p[0] + n].tolist()) for n, p in found} == wanted
+    end_of = np.repeat(np.cumsum(lengths), lengths).tolist()
+    symbols, longest = flat.tolist(), {}
+    for i in range(len(symbols)):
+        for j in range(len(symbols)):
+            n = 0
+            while i != j and i + n < end_of[i] and j + n < end_of[j] and symbols[i + n] == symbols[j + n]:
+                n += 1
+            if n >= depth:
+                longest[i] = max(n, longest.get(i, 0))
+    at, size = suffix_tree.maximal_repeats(suffix_tree.build(flat, lengths, depth), len(flat), depth)
+    found = dict(zip(at.tolist(), size.tolist()))
+    assert found == {i: n for i, n in longest.items() if longest.get(i - 1, 0) < n + 1}
+    assert {p for i, n in found.items() for p in range(i, i + n - depth + 1)} == set(longest)
+
+
+def test_no_strings():
+    none = np.zeros(0, np.int64)
+    assert not len(suffix_tree.maximal_repeats(suffix_tree.build(none, none, 4), 0, 4)[0])
