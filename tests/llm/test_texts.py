@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -116,29 +117,52 @@ def test_trie_counts_against_plain_forward_scores(make_docs, draw):
 
 @pytest.fixture(scope="module")
 def labelled(spark):
+    """Texts that are toxic if they have either an insult or a group, not both: no sum of weights can tell."""
     import random
 
     draw = random.Random(4)
     rows, labels = [], []
-    for i in range(900):
-        words = [f"w{draw.randint(0, 300)}" for _ in range(draw.randint(20, 60))]
+    for i in range(3000):
+        words = [f"w{draw.randint(0, 300)}" for _ in range(draw.randint(20, 40))]
         insult, group = draw.random() < 0.5, draw.random() < 0.5
         for on, kind in ((insult, "insult"), (group, "group")):
             if on:
                 words[draw.randrange(len(words))] = f"{kind}{draw.randint(0, 3)}"
         rows.append((i, " ".join(words)))
-        labels.append((i, int(insult and group)))
+        labels.append((i, int(insult != group and f"{'insult' if insult else 'group'}" in rows[-1][1])))
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), dict(labels)
 
 
-def test_toxicity_learns_an_interaction(labelled):
+def accuracy(docs, machine, known):
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, machine).collect()}
+    held = [i for i in scores if zlib.crc32(str(i).encode()) % 3 == 1]
+    return np.mean([(scores[i] >= 0.5) == bool(known[i]) for i in held])
+
+
+def test_toxicity_learns_what_only_pairs_tell(labelled):
     docs, labels, known = labelled
-    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
-    import zlib
+    assert accuracy(docs, toxicity.train(docs, labels), known) > 0.95
+    assert accuracy(docs, toxicity.train(docs, labels, rank=0), known) < 0.65  # the linear part alone
 
-    held = [i for i in scores if zlib.crc32(str(i).encode()) % 3 == 1]
-    right = np.mean([(scores[i] >= toxicity.THRESHOLD) == bool(known[i]) for i in held])
-    assert right > 0.9, right
+
+def test_scores_are_sums_over_pairs(make_docs, draw):
+    rows = texts(draw, 40)
+    size = (1 << toxicity.BITS) + 1
+    rng = np.random.default_rng(1)
+    m = toxicity.Machine(rng.random(size) * (rng.random(size) < 0.5), rng.normal(0, 0.3, size), rng.normal(0, 0.2, (size, 3)))
+    m.scale[0] = 1
+    wanted = []
+    for i, t in rows:
+        places = [0, *sorted({p for w in WORD.findall((t or "").lower()) for p in toxicity.terms(w)})]
+        raw = sum(m.weight[p] * m.scale[p] for p in places)
+        for a in range(len(places)):
+            for b in range(a):
+                p, q = places[a], places[b]
+                raw += float(m.vector[p] @ m.vector[q]) * m.scale[p] * m.scale[q]
+        wanted.append((str(i), 1 / (1 + math.exp(-max(-40, min(40, raw))))))
+    found = sorted((str(r.doc_id), r.score) for r in toxicity.score(make_docs(rows), m).collect())
+    assert [i for i, _ in found] == [i for i, _ in sorted(wanted)]
+    assert np.allclose([x for _, x in found], [x for _, x in sorted(wanted)], atol=1e-9)
 
 
 def test_toxicity_ignores_held_out_labels(spark, labelled):
@@ -157,3 +181,20 @@ def test_toxicity_edges(spark, make_docs):
         scores = [r.score for r in toxicity.score(docs, machine).collect()]
         assert len(scores) == 4 and all(0 <= s <= 1 and not math.isnan(s) for s in scores)
         assert toxicity.drop_toxic(docs, machine).columns == docs.columns
+    assert toxicity.score(make_docs([]), machine).count() == toxicity.drop_toxic(make_docs([]), machine).count() == 0
+
+
+def test_toxicity_of_repeated_rows_and_long_texts(spark, make_docs, monkeypatch):
+    """Repeated rows teach once and are scored each; the bound on terms ends the sample, but leaves no text out for its length."""
+    rows = [(i, f"word{i} " + ("idiot" if i % 2 else "fine")) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    once, twice = (toxicity.train(make_docs(r), labels) for r in (rows, rows + rows))
+    assert (once.weight == twice.weight).all()
+    scores = [r.score for r in toxicity.score(make_docs(rows[:1] * 3), once).collect()]
+    assert len(scores) == 3 and len(set(scores)) == 1
+    long = [(i, " ".join(f"x{k}" for k in range(3000)) + (" idiot" if i % 2 else "")) for i in range(16)]
+    m = toxicity.train(make_docs(long), labels)
+    bad, fine = (next(r.score for r in toxicity.score(make_docs([(1, t)]), m).collect()) for t in ("idiot", "x1"))
+    assert bad > fine
+    monkeypatch.setattr(toxicity, "MAX_TERMS", 40)
+    assert len(toxicity.train(make_docs(long), labels).scale) > 1  # a text of each class is left
