@@ -16,4 +16,11 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_word_dedup": substrings.op10_word_dedup,
 }
-ORACLES = {"op4_host_reputation": host_reputation.OP4_SQL, "op2_repetition": repetition.OP2_SQL, "op8_minhash": minhash.OP8_SQL}
+ORACLES = {
+    "op1_cap_filters": cap_filters.OP1_SQL,
+    "op2_repetition": repetition.OP2_SQL,
+    "op4_host_reputation": host_reputation.OP4_SQL,
+    "op5_byte_dedup": substrings.OP5_SQL,
+    "op8_minhash": minhash.OP8_SQL,
+    "op10_word_dedup": substrings.OP10_SQL,
+}

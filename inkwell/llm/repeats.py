@@ -4,7 +4,7 @@ Symbols are bytes or words. A window is named by the least hash of the k-symbol
 n at most, form a run, and equal windows have equal names. Texts lie in crates of some megabytes, and crates ask about names
 and strings by buckets of hash ranges, a sorted list per crate and bucket:
 
-1. Which names stand in several crates, or in several runs of one? All windows with other names are unique, and nothing more
+1. Which names stand in several crates, in several runs of one, or in one run again and again? All windows with other names are unique, and nothing more
    is asked about them. Names are counted, too. One whose strings may outgrow GROUP_SYMBOLS is too heavy for a group: its
    runs are named anew by longer prefixes, the shared k symbols with those that follow (or, at the end of a window,
    precede) them, up to halfway to n, and the question is put again; names too heavy still are replaced by whole windows.
@@ -84,17 +84,16 @@ class Crate:
         n, k = self.shape.n, self.shape.k
         up, down = _powers(BLOCK + n + 1)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        periodic = [np.zeros(0, np.uint64)]
         for s in range(0, self.size - n + 1, BLOCK):
             e = min(s + BLOCK, self.size - n + 1)
             part = self.symbols(s, e + n - 1)
             sums = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(part * up[: len(part)], out=sums[1:])
-            m = (sums[k:] - sums[:-k]) * down[: len(part) - k + 1]
-            span, width = 1, n - k + 1
-            while span * 2 <= width:
-                m = np.minimum(m[:-span], m[span:])
-                span *= 2
-            v = np.minimum(m[: e - s], m[width - span : width - span + e - s])
+            grams, width = (sums[k:] - sums[:-k]) * down[: len(part) - k + 1], n - k + 1
+            v = _sliding(np.minimum, grams, width)
+            if not self.shape.by_id:
+                periodic.append(_recurring(grams, v, width, n))
             edges = self.offsets[np.searchsorted(self.offsets, s, "right") : np.searchsorted(self.offsets, e + n - 1)]
             over = _covered(e - s, np.maximum(0, edges - n + 1 - s), np.maximum(0, np.minimum(edges - s, e - s)))
             new = np.ones(e - s, bool)
@@ -106,6 +105,7 @@ class Crate:
             good = ~over[at]
             found.append((at[good] + s, size[good], v[at[good]]))
         start, size, name = (np.concatenate(x) for x in zip(*found))
+        self.periodic = np.unique(mix64(np.concatenate(periodic)))
         return start, size, mix64(name), self._ids(start)  # least hashes crowd near 0: mixed, names spread evenly
 
     def _ids(self, places: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ class Crate:
         sorted_names = name[order]
         first = np.flatnonzero(np.r_[True, sorted_names[1:] != sorted_names[:-1]][: len(order)])
         count = np.diff(np.append(first, len(order)))
-        inside = count > 1
+        inside = (count > 1) | np.isin(sorted_names[first], self.periodic)
         if self.shape.by_id and len(first):
             inside = np.minimum.reduceat(ids[order], first) < np.maximum.reduceat(ids[order], first)
         group = np.repeat(np.arange(len(first)), count)
@@ -286,6 +286,24 @@ class Stretches:
         return cls(count, np.frombuffer(raw, np.uint16, total, 2 * n).astype(np.int64), np.frombuffer(raw[2 * (n + total) :], np.int64))
 
 
+def _sliding(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """f over every stretch of width values."""
+    span, n = 1, len(x) - width + 1
+    while span * 2 <= width:
+        x = f(x[:-span], x[span:])
+        span *= 2
+    return f(x[:n], x[width - span : width - span + n])
+
+
+def _recurring(grams: np.ndarray, v: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Least hashes of windows that come again within n symbols: then windows of one run may be equal, too."""
+    none = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(grams == _sliding(np.maximum, np.concatenate([none, v, none]), width))
+    at = at[np.argsort(grams[at], kind="stable")]
+    again = (grams[at[1:]] == grams[at[:-1]]) & (at[1:] - at[:-1] <= n)
+    return np.unique(grams[at[1:]][again])
+
+
 def dealt(names: np.ndarray, buckets: int) -> np.ndarray:
     """The hash range of each name, of so many."""
     return ((names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)

@@ -117,6 +117,15 @@ def test_production_windows_over_many_crates(draw):
     assert same(asked_here(rows, repeats.Shape(50, 20, False, True), 3)[0], by_bytes(rows, 50))
 
 
+def test_periodic_texts(draw):
+    """Equal windows of one run: its name stands in one run only, but more than once."""
+    for _ in range(30):
+        rows = [(i, " ".join(w for w in (f"w{draw.randint(0, 99)}" for _ in range(draw.randint(1, 5))) for _ in range(draw.randint(1, 20)))) for i in range(3)]
+        rows += [(9, " ".join(f"v{i % draw.randint(2, 12)}" for i in range(draw.randint(1, 40))))]
+        assert same(asked_here(rows, repeats.Shape(7, 3, True, False), 1000)[0], by_words(rows, 7))
+        assert same(asked_here(rows, repeats.Shape(7, 3, True, False), 1)[0], by_words(rows, 7))
+
+
 def test_what_is_removed_comes_from_the_sorter_and_the_trees(draw, monkeypatch):
     """Without their answers nothing is removed, whatever the hashes say."""
     rows = texts(draw, 60)

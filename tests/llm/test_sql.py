@@ -17,7 +17,7 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "embeddings", "labels", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     wanted = con.execute(ORACLES[name])
     columns = [c[0] for c in wanted.description]
