@@ -106,13 +106,16 @@ def write_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENDS = r"^[\n\x0B\f\r\x{85}\x{2028}\x{2029}]+|[\n\x0B\f\r\x{85}\x{2028}\x{2029}]+$"
 
 
-@query("write_document", _with(o.BODIES + o.TITLE_TEXTS.removeprefix(o.NORMAL), f"SELECT script_id, regexp_replace(coalesce(title || chr(10), '') || coalesce(body, ''), '{_ENDS}', '', 'g') AS text FROM written FULL JOIN named USING (script_id)"))
+_WRITTEN = _with(o.BODIES + o.TITLE_TEXTS.removeprefix(o.NORMAL), f"SELECT script_id, regexp_replace(coalesce(title || chr(10), '') || coalesce(body, ''), '{_ENDS}', '', 'g') AS text FROM written FULL JOIN named USING (script_id)")
+
+
+@query("write_document", _WRITTEN)
 def write_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     scripts = conversation_scripts(spark, sf_dir)
     return writer.documents(fast.elements(scripts), title_page.title_page(scripts))
 
 
-@query("round_trip")
+@query("round_trip", _with(o.ELEMENTS, "SELECT * FROM elements", f"scripts AS ({_WRITTEN})"))
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The elements of written documents, parsed again."""
     return fast.elements(write_document(spark, sf_dir))
