@@ -175,12 +175,43 @@ def test_pipeline_on_planted_cases(spark, tmp_path, draw):
     assert set(after["toxicity"]) == clean
     assert clean - set(after["minhash near-dedup"]) == {303, 304}
     cut = after["substring dedup"]
-    assert len(cut[300].text.split()) == 30 and len(cut[301].text.split()) == 30 and cut[1].text == rows[1][1]
+    assert len(cut[300].text.split()) == 90 and len(cut[301].text.split()) == 30 and cut[1].text == rows[1][1]  # the first keeps the passage
     assert set(after["source mixing"]) == set(cut) == set(after["sentencepiece"])
     total = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(repr(tuple(r)) for r in total.collect()) == sorted(repr(tuple(r)) for r in state.collect())
 
 
+def corpus(spark, folder, docs, labels, extra=""):
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + extra
+    spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path, draw):
+    """Rows that stand twice, with and without ids, come out once and whole; clashing columns are left alone."""
+    import corpus_pipeline
+
+    text = " ".join(f"v{draw.randint(0, 100_000)}" for _ in range(60))
+    other = " ".join(f"u{draw.randint(0, 100_000)}" for _ in range(60))
+    rows = [(1, text, "en", "s", len(text), "k", 5)] * 2 + [(None, other, "en", None, len(other), None, None)] * 3 + [(7, None, None, None, None, None, None), (8, "", "en", "s", 0, "k", 1)]
+    docs = corpus(spark, tmp_path, rows, [(1, 1, 0)], ", class string, pack int")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        docs = corpus_pipeline.cut(docs)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "class", "pack"], name
+    found = {(r.doc_id, r.text, r["class"]) for r in docs.collect()}
+    assert found == {(1, text, "k"), (None, other, None), (7, None, None), (8, "", "k")}
+    assert sorted(r.text or "" for r in docs.collect() if r.text) == sorted([text, other])
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    corpus(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_the_rest_does_not_import_this(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("inkwell.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
         monkeypatch.delitem(sys.modules, name)
