@@ -1,8 +1,13 @@
 """A training-data pipeline: each stage takes the documents its predecessor kept and returns documents.
 
 Stages: documents scored as toxic go; of each group of near-copies (five-word shingles, similarity 0.8 or more) one stays;
-passages of 35 words that also stand elsewhere are cut; sources are mixed to target weights, every source at least once
-through; the last stage encodes the mixed texts and decodes them again. A document that the mix repeats is then repeated.
+passages of 35 words that also stand in a document with a smaller id are cut, so each stays where it comes first; sources are
+mixed to target weights, every source at least once through; the last stage encodes the mixed texts and decodes them again.
+A document that the mix repeats is then repeated.
+
+Rows that stand twice are near-copies of each other, and one stays, whether they have an id or not; documents without words
+are no copies, and stay. Null texts stay null up to the last stage, which takes them as empty; columns that documents has
+besides are carried along by all stages but the last; empty tables give an empty result.
 """
 
 from __future__ import annotations
