@@ -59,7 +59,7 @@ def _dual_marks(pages: DataFrame) -> DataFrame:
         rows = rows.sort_values(["page_idx", "pos_in_page"]).reset_index(drop=True)
         count, opened, closes = 0, [], []
         for kind, dual in zip(rows["element_type"], rows["is_dual_dialogue"]):
-            skipped = kind in HIDDEN or kind == "Page Break"
+            skipped = kind is None or kind in HIDDEN or kind == "Page Break"
             starts = not skipped and kind == "Character" and dual
             count += starts
             ends = not skipped and count >= 2 and kind not in SPEECH
@@ -109,7 +109,7 @@ def html(elements: DataFrame, title_page: DataFrame, css: str = DEFAULT_CSS, siz
     number = F.when(F.col("pos_in_page") == 0, F.concat(F.lit("<p class='page-break'>"), (F.col("page_idx") + 1).cast("string"), F.lit(".</p>\n"))).otherwise("")
     opening = F.when(F.col("opened") == 1, "<div class='dual-dialogue'>\n<div class='dual-dialogue-left'>\n").when(F.col("opened") == 2, "</div>\n<div class='dual-dialogue-right'>\n").otherwise("")
     closing = F.when(F.col("closes"), "</div>\n</div>\n").otherwise("")
-    shown = F.when(F.col("element_type").isin(*HIDDEN), "").when(F.col("element_type") == "Page Break", "</section>\n<section>\n").otherwise(F.concat(opening, closing, element_html(escape)))
+    shown = F.when(F.col("element_type").isNull() | F.col("element_type").isin(*HIDDEN), "").when(F.col("element_type") == "Page Break", "</section>\n<section>\n").otherwise(F.concat(opening, closing, element_html(escape)))
     pages = rows.groupBy("script_id").agg(ordered_join([F.col("page_idx"), F.col("pos_in_page")], F.concat(number, shown), "").alias("pages"))
     both = pages.join(title_html(title_page), "script_id", "full")
     head = f"<!DOCTYPE html>\n<html>\n<head>\n<style type='text/css'>\n{css}</style>\n</head>\n<body>\n<article>\n<section>\n"

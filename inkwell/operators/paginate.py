@@ -166,26 +166,29 @@ def lay_out(elements: list[dict], size: tuple[int, int] = LETTER) -> list[list[d
 
 
 def paginate(elements: DataFrame, size: tuple[int, int] = LETTER) -> DataFrame:
-    """A row per element and page; elements that the layout makes have no elem_idx."""
+    """A row per element and page; elements that the layout makes have no elem_idx. A page that was closed empty has one row
+    without an element."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("elem_idx")
         pages = lay_out(rows[FIELDS].to_dict("records"), size)
-        out = [{"page_idx": p, "pos_in_page": k, **e} for p, page in enumerate(pages) for k, e in enumerate(page)]
+        out = [{"page_idx": p, "pos_in_page": k, **e} for p, page in enumerate(pages) for k, e in enumerate(page or [dict.fromkeys(FIELDS)])]
         df = pd.DataFrame(out, columns=["page_idx", "pos_in_page", *FIELDS])
         df.insert(0, "script_id", rows["script_id"].iloc[0])
-        df["elem_idx"] = df["elem_idx"].astype("Int32")
+        df = df.astype({"elem_idx": "Int32", "section_depth": "Int32", "is_centered": "boolean", "is_dual_dialogue": "boolean"})
         return df
 
     return elements.select("script_id", *FIELDS).groupBy("script_id").applyInPandas(run, SCHEMA)
 
 
 def page_at(pages: DataFrame, index: int) -> DataFrame:
-    """The rows of one page of each script; none for a page that isn't there."""
-    return pages.where(F.col("page_idx") == index)
-
-
-def page_counts(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("script_id").agg((F.max("page_idx") + 1).alias("n_pages"))
+    """The elements of one page of each script; none for a page that is empty or isn't there."""
+    return pages.where((F.col("page_idx") == index) & F.col("element_type").isNotNull())
 
 
+def page_counts(pages: DataFrame, scripts: DataFrame | None = None) -> DataFrame:
+    """The number of pages of each script; of scripts (script_id), where they are given, also of those without any."""
+    found = pages.groupBy("script_id").agg((F.max("page_idx") + 1).alias("n_pages"))
+    if scripts is None:
+        return found
+    return scripts.select("script_id").join(found, "script_id", "left").select("script_id", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))

@@ -12,6 +12,7 @@ from inkwell.operators import fast, html, legacy, normalize, paginate, title_pag
 from inkwell.operators.describe import described
 from inkwell.plans import oracle as o
 from inkwell.plans.corpus import CONVERSATION_SQL, DOCUMENT_SQL, conversation_scripts, document_scripts
+from inkwell.plans.layout_sql import LAYOUT, html_sql
 from inkwell.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _with(chain: str, select: str, scripts: str = CONVERSATION_SQL) -> str:
-    return f"WITH {scripts},{chain}\n{select}"
+    return f"WITH RECURSIVE {scripts},{chain}\n{select}"
 
 
 @query("normalize_lines", _with(o.NORMAL, "SELECT script_id, line_no, line FROM lines"))
@@ -131,22 +132,22 @@ def legacy_title_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy.title_page(conversation_scripts(spark, sf_dir)).select("script_id", "entry_idx", "key", F.array_join("values", "|").alias("values_text"))
 
 
-@query("paginate")
+@query("paginate", _with(LAYOUT, "SELECT * FROM laid_out"))
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paginate.paginate(elements_fast(spark, sf_dir))
 
 
-@query("page_counts")
+@query("page_counts", _with(LAYOUT, "SELECT script_id, coalesce(max(page_idx) + 1, 0)::INT AS n_pages FROM scripts LEFT JOIN laid_out USING (script_id) GROUP BY script_id"))
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paginate.page_counts(pages(spark, sf_dir))
+    return paginate.page_counts(pages(spark, sf_dir), conversation_scripts(spark, sf_dir))
 
 
-@query("first_pages")
+@query("first_pages", _with(LAYOUT, "SELECT * FROM laid_out WHERE page_idx = 0 AND element_type IS NOT NULL"))
 def first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paginate.page_at(pages(spark, sf_dir), 0)
 
 
-@query("html")
+@query("html", _with(f"{LAYOUT}{o.TITLES.removeprefix(o.NORMAL)},{html_sql(html.DEFAULT_CSS)}", "SELECT * FROM rendered"))
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     scripts = conversation_scripts(spark, sf_dir)
     return html.html(fast.elements(scripts), title_page.title_page(scripts))
