@@ -13,6 +13,7 @@ from inkwell.operators.describe import described
 from inkwell.plans import oracle as o
 from inkwell.plans.corpus import CONVERSATION_SQL, DOCUMENT_SQL, conversation_scripts, document_scripts
 from inkwell.plans.layout_sql import LAYOUT, html_sql
+from inkwell.plans.legacy_sql import LEGACY, LEGACY_TITLES
 from inkwell.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,12 +123,12 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fast.elements(write_document(spark, sf_dir))
 
 
-@query("legacy_elements")
+@query("legacy_elements", _with(LEGACY, "SELECT * FROM old_elements"))
 def legacy_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy.elements(conversation_scripts(spark, sf_dir))
 
 
-@query("legacy_title_page")
+@query("legacy_title_page", _with(LEGACY_TITLES, "SELECT script_id, entry_idx, key, array_to_string(\"values\", '|') AS values_text FROM old_titles"))
 def legacy_title_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy.title_page(conversation_scripts(spark, sf_dir)).select("script_id", "entry_idx", "key", F.array_join("values", "|").alias("values_text"))
 
