@@ -28,29 +28,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where the session has none."""
+    """The folder that the driver and all executors share; set here only where a session of one machine has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Sessions, paths, and the names of those that are tables of the catalog.
+_WRITTEN: list[tuple[SparkSession, str, str | None]] = []
 
 
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for spark, path, name in _WRITTEN:
         try:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             drop_table(spark, path)
         except Exception:  # the session may have ended, and its folder with it
             return
 
 
-def _written(spark: SparkSession, path: str) -> None:
+def _written(spark: SparkSession, path: str, name: str | None = None) -> None:
     if not _WRITTEN:
         atexit.register(_clean)  # registered after Spark's own, so that it runs before
-    _WRITTEN.append((spark, path))
+    _WRITTEN.append((spark, path, name))
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
@@ -70,13 +75,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def placed(df: DataFrame, key: str) -> DataFrame:
-    """As cut(), the rows dealt by key and written in buckets: joins on key then move only their other side."""
+    """As cut(), the rows dealt by key and written in buckets: joins on key then move only their other side. It is a table of
+    the session's catalog until the process ends, since only such tables keep their buckets."""
     spark = df.sparkSession
     name = f"inkwell_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
-    _written(spark, path)
+    _written(spark, path, name)
     del df
     forget_shuffles(spark)
     return spark.table(name)

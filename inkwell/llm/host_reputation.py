@@ -6,6 +6,9 @@ whose own prior mean comes from its suffix, and that from all pages. The strengt
 method of moments to how much its groups differ. A host is blocked when the lower bound of its share of bad pages is above
 a limit, so one with few or no labelled pages is allowed unless those above it speak clearly against it.
 
+For its reputation a host goes without user and port. Its suffix is the last label, or the last two where a country's label stands
+behind one of SECOND_LEVEL, and its registered domain has one label more; an address of numbers is a domain of its own.
+
 A null url, or one without `://`, has an empty host and path and is judged as the host "". Rows are kept as they are,
 repeated ones too; without any label all are allowed.
 """
@@ -20,6 +23,8 @@ from inkwell.llm.common import ascii_lower, cut, table
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 #: A host is blocked above this share of bad pages, at the lower bound of so many standard deviations.
 BAD_SHARE, DEVIATIONS = 0.25, 2.0
+#: Labels under which countries register names, as in co.uk and com.au.
+SECOND_LEVEL = ["ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org"]
 #: Prior strengths, in pages, are held between these.
 WEAKEST, STRONGEST = 1.0, 1000.0
 
@@ -45,6 +50,16 @@ def matched(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def named_levels(hosts: DataFrame) -> DataFrame:
+    """hosts with the suffix and the registered domain of each host."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""), r"\.$", "")
+    parts = F.split(plain, r"\.")
+    last = lambda n: F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - n + 1), n), ".")
+    two = plain.rlike(rf"(^|\.)({'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
+    numbers = plain.rlike(r"^[0-9]+(\.[0-9]+)+$")
+    return hosts.withColumns({"suffix": F.when(numbers, "").when(two, last(2)).otherwise(last(1)), "domain": F.when(numbers, plain).when(two, last(3)).otherwise(last(2))})
+
+
 def _strength(groups: DataFrame, mean: str) -> float:
     """Prior strength, in pages, from groups (n, bad) around their column of prior means, by the method of moments."""
     m = F.col(mean)
@@ -63,8 +78,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     """host, n, bad, share (posterior mean) and bound (its lower bound) for outcomes (host, n, bad), a row per host.
 
     Every level has at most as many rows as there are hosts; only six sums reach the driver."""
-    parts = F.split("host", r"\.")
-    hosts = outcomes.withColumns({"suffix": F.element_at(parts, -1), "domain": F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2), ".")})
+    hosts = named_levels(outcomes)
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = ((total.bad or 0) + 0.1) / ((total.n or 0) + 1)  # without any label nothing is blocked
     above, prior = hosts.withColumn("all", F.lit(overall)), "all"
@@ -117,12 +131,14 @@ s_{level} AS (SELECT CASE WHEN b IS NULL OR b <= 0 THEN {STRONGEST} ELSE least({
 m_{level} AS (SELECT {keys}, (bad + s * p) / (n + s) AS {level}_mean, n + s AS weight FROM g_{level}, s_{level})"""
 
 
-OP4_SQL = f"""WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+OP4_SQL = rf"""WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 named AS (SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(r, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 known AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE toxic IS NOT NULL OR quality IS NOT NULL GROUP BY doc_id),
 counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM named LEFT JOIN known USING (page_id) GROUP BY host),
 overall AS (SELECT (sum(bad) + 0.1) / (sum(n) + 1) AS every FROM counted),
-hosts AS (SELECT *, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain, every FROM counted, overall),{_level_sql("suffix", "every", "hosts")},
+plain AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS name FROM counted, overall),
+hosts AS (SELECT * EXCLUDE (name), CASE WHEN numbers THEN '' WHEN two THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix, CASE WHEN numbers THEN name WHEN two THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain
+  FROM (SELECT *, string_split(name, '.') AS parts, regexp_matches(name, '(^|\.)({"|".join(SECOND_LEVEL)})\.[a-z]{{2}}$') AS two, regexp_matches(name, '^[0-9]+(\.[0-9]+)+$') AS numbers FROM plain)),{_level_sql("suffix", "every", "hosts")},
 h1 AS (SELECT * FROM hosts JOIN m_suffix USING (suffix)),{_level_sql("domain", "suffix_mean", "h1")},
 h2 AS (SELECT * FROM hosts JOIN m_domain USING (domain, suffix)),{_level_sql("host", "domain_mean", "h2")}
 SELECT page_id, host, path, {_rules_sql()} WHEN host_mean - {DEVIATIONS} * sqrt(host_mean * (1 - host_mean) / (weight + 1)) > {BAD_SHARE} THEN 'block' ELSE 'allow' END AS verdict

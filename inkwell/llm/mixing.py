@@ -5,10 +5,12 @@ bisected so that the weights have a target entropy, or nearer to 1 where a sourc
 Every source then runs through whole epochs, each in a keyed pseudo-random order of its documents, and through as much of
 one more epoch as its budget of tokens holds. Where that epoch ends is found by adding up tokens over ever finer ranges of
 the keys, so no task ever orders a whole source. A document's key and epoch give its place in the stream, which is laid out
-in blocks that all hold the sources in proportion.
+in blocks that all hold the sources in proportion. Within a block a second hash permutes the documents of all sources, so that
+ordering by block, order and id gives the stream; positioned() numbers the rows of each block that way.
 
 Tokens are words. A null source counts as the source "", and a document without words is placed at no cost. Rows that repeat
-an id stand beside each other. The driver holds one row per source.
+an id stand beside each other; those with a null id are placed as one document. An empty table gives an empty stream. Columns
+that clash with the ones added stay as they are. The driver holds one row per source.
 """
 
 from __future__ import annotations
@@ -103,9 +105,9 @@ def plan(sized: DataFrame, **limits) -> DataFrame:
 
 
 def realise(docs: DataFrame, quotas: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Each row of docs, with all its columns, once for each time it is due, with mix_epoch, mix_key and mix_block (with an
-    underscore added where docs has a column of that name)."""
-    names = {c: unused(f"mix_{c}", docs) for c in ("source", "whole", "last_key", "source_tokens", "quota", "budget", "epoch", "key", "block")}
+    """Each row of docs, with all its columns, once for each time it is due, with mix_epoch, mix_key, mix_block and
+    mix_order (with an underscore added where docs has a column of that name)."""
+    names = {c: unused(f"mix_{c}", docs) for c in ("source", "whole", "last_key", "source_tokens", "quota", "budget", "epoch", "key", "block", "order")}
     q = quotas.select(*(F.col(c).alias(names[c]) for c in ("source", "whole", "last_key", "source_tokens", "quota", "budget")))
     col = lambda c: F.col(names[c])
     due = docs.withColumn(names["source"], F.coalesce("source", F.lit(""))).join(q, names["source"])
@@ -113,7 +115,16 @@ def realise(docs: DataFrame, quotas: DataFrame, block_tokens: int = BLOCK_TOKENS
     due = due.withColumn(names["key"], key(col("epoch"))).where((col("epoch") < col("whole")) | (col("key") <= col("last_key")))
     place = F.when(col("quota") > 0, (col("epoch") + col("key") / 2.0**63) * col("source_tokens") / col("quota")).otherwise(col("key") / 2.0**63)
     blocks = F.greatest(F.lit(1.0), F.ceil(col("budget") / block_tokens))
-    return due.select(*docs.columns, names["epoch"], names["key"], F.floor(F.least(place, F.lit(1 - 1e-12)) * blocks).alias(names["block"]))
+    block = F.floor(F.least(place, F.lit(1 - 1e-12)) * blocks)
+    return due.select(*docs.columns, names["epoch"], names["key"], block.alias(names["block"]), key(-1 - col("epoch")).alias(names["order"]))
+
+
+def positioned(stream: DataFrame) -> DataFrame:
+    """What realise gave of docs without clashing columns, with mix_position, a row's place in its block from 0 on. A block has
+    some BLOCK_TOKENS words, so no task orders more."""
+    rest = [c for c in stream.columns if not c.startswith("mix_")]
+    within = Window.partitionBy("mix_block").orderBy("mix_order", "doc_id", "mix_epoch", "mix_key", *(c for c in rest if c != "doc_id"))
+    return stream.withColumn("mix_position", F.row_number().over(within) - 1)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -121,6 +132,6 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, tokens and the epoch, key and block of every row of the mixed stream."""
+    """doc_id, source, tokens and the epoch, key, block, order and position of every row of the mixed stream."""
     sized = cut(sizes(table(spark, sf_dir, "documents")))
-    return realise(sized, plan(sized))
+    return positioned(realise(sized, plan(sized)))

@@ -124,10 +124,30 @@ def test_weights():
 def test_mixing_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a b", "s", 7, "x"), (2, "c", None, 8, "y")], "doc_id long, text string, source string, mix_epoch int, whole string")
     out = mixing.realise(df, mixing.plan(mixing.sizes(df)))
-    assert out.columns == [*df.columns, "mix_epoch_", "mix_key", "mix_block"]
+    assert out.columns == [*df.columns, "mix_epoch_", "mix_key", "mix_block", "mix_order"]
     assert {(r.doc_id, r.mix_epoch, r.whole) for r in out.collect()} == {(1, 7, "x"), (2, 8, "y")}
 
 
+def test_blocks_are_permutations_of_all_sources(spark, monkeypatch):
+    """Every block holds the sources by their weights, in an order that doesn't part them; positions number it."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 2000)
+    rows = [(i, "w " * 10, "a" if i % 4 else "b") for i in range(2000)] + [(5, "w " * 10, "a"), (None, "w", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixing.sizes(df)
+    quotas = mixing.plan(sized, repeats=3.0)
+    weight = {q.source: q.weight for q in quotas.collect()}
+    stream = mixing.positioned(mixing.realise(sized, quotas, 2000)).collect()
+    blocks = {}
+    for r in stream:
+        blocks.setdefault(r.mix_block, []).append(r)
+    assert len(stream) > 2000 and len(blocks) >= 10
+    for own in blocks.values():
+        own.sort(key=lambda r: r.mix_position)
+        assert [r.mix_position for r in own] == list(range(len(own))) and [r.mix_order for r in own] == sorted(r.mix_order for r in own)
+        for half in (own[: len(own) // 2], own[len(own) // 2 :]):
+            assert abs(sum(r.tokens for r in half if r.source == "b") / sum(r.tokens for r in half) - weight["b"]) < 0.2
+
+
 def test_mixing_of_nothing(spark):
     assert mixed(spark, [])[2].count() == 0
 
@@ -144,6 +164,31 @@ def test_urls_are_split_and_ruled(spark):
     assert out[6] == ("h:", "//i/", None, "allow") and out[7][2:] == ("example.org/es/", "block") and out[8][2:] == ("org/", "allow") and out[9][:2] == ("Àb.net", "")
 
 
+def test_suffixes_and_domains(spark):
+    hosts = {"a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.com": ("com", "x.com"), "h.x.com:8080": ("com", "x.com"), "me:pw@x.com": ("com", "x.com"),
+             "192.168.0.7": ("", "192.168.0.7"), "192.168.0.7:80": ("", "192.168.0.7"), "com": ("com", "com"), "": ("", ""), "x.com.": ("com", "x.com"), "www.com.au": ("com.au", "www.com.au"), "co.com": ("com", "co.com")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    named = host_reputation.named_levels(df).collect()
+    assert {r.host: (r.suffix, r.domain) for r in named} == hosts
+
+
+def test_clean_hosts_below_a_shared_suffix_stay(spark):
+    rows = [(i, f"http://h{i}.co.uk/") for i in range(34)]
+    bad = [(i, int(i >= 4)) for i in range(34)]
+    rows += [(100 + i, "http://clean.co.uk/x") for i in range(20)]
+    bad += [(100 + i, 0) for i in range(20)]
+    out = {r.page_id: r.verdict for r in host_reputation.judge(pages(spark, rows), spark.createDataFrame(bad, "page_id long, bad int")).collect()}
+    assert out[100] == "allow"
+
+
+def test_judged_pages_edges(spark):
+    rows = [(1, "http://a.net/"), (1, "http://a.net/"), (None, "http://a.net/"), (2, None)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, host string, bad string")
+    bad = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "page_id long, bad int")
+    assert sorted(repr(tuple(r)) for r in host_reputation.judge(df, bad).select("page_id", "host").collect()) == sorted(["(1, 'a.net')", "(1, 'a.net')", "(None, 'a.net')", "(2, '')"])
+    assert host_reputation.judge(df.limit(0), bad).count() == 0
+
+
 def test_reputation_shrinks(spark):
     hosts = [(f"h{i}.good{i % 5}.net", 40, 2) for i in range(20)] + [("bad.evil.net", 60, 50), ("new.evil.net", 1, 1), ("lone.good1.net", 1, 1), ("none.other.net", 0, 0)]
     out = {r.host: r for r in host_reputation.reputation(spark.createDataFrame(hosts, "host string, n long, bad long")).collect()}
