@@ -21,21 +21,38 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Text bytes that a vectorised pass takes at once; a longer text is taken alone.
 SLICE_BYTES = 1 << 20
+#: Bytes of a batch on its way between Spark and a Python worker.
+BATCH_BOUND, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark send Python workers batches of BATCH_BYTES (or one row, if longer) instead of 64 MB, which a JVM holds outside
+    its heap, up to twice over as buffers grow, for each of its running tasks. A smaller bound of the session's own stays."""
+    bound = spark.conf.get(BATCH_BOUND)
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(bound) > BATCH_BYTES:
+        spark.conf.set(BATCH_BOUND, str(BATCH_BYTES))
+
+
+#: Folders of sessions of one machine that have none of their own; the setting itself can't be changed once a session runs.
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where a session of one machine has none."""
+    """The folder that the driver and all executors share; made here only where a session of one machine has none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
+    return _FOLDERS[app]
 
 
 #: Sessions, paths, and the names of those that are tables of the catalog.
